@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, quality_rules
 from tessera.llm.frames import table
 
 
@@ -20,5 +20,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_bpe": op6_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe": op6_bpe,
+    "op8_host_rules": op8_host_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_host_rules": quality_rules.ORACLE,
+}
