@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality_rules
+from tessera.llm import bpe, chat, quality_rules
 from tessera.llm.frames import table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -25,9 +29,11 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
     "op6_bpe": op6_bpe,
     "op8_host_rules": op8_host_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_windows": chat.ORACLE,
     "op8_host_rules": quality_rules.ORACLE,
 }
