@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, quality_rules
+from tessera.llm import bpe, chat, quality_grade, quality_rules, toxicity
 from tessera.llm.frames import table
 
 
@@ -20,6 +20,10 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op3_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grade.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -28,10 +32,16 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
+    "op3_quality_grade": op3_quality_grade,
     "op6_bpe": op6_bpe,
     "op8_host_rules": op8_host_rules,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_windows": chat.ORACLE,
