@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, quality_grade, quality_rules, toxicity
+from tessera.llm import bpe, chat, quality_grade, quality_rules, toxicity, url_filter
 from tessera.llm.frames import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grade.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -39,11 +43,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op3_quality_grade": op3_quality_grade,
+    "op5_url_cascade": op5_url_cascade,
     "op6_bpe": op6_bpe,
     "op8_host_rules": op8_host_rules,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_windows": chat.ORACLE,
+    "op5_url_cascade": url_filter.ORACLE,
     "op8_host_rules": quality_rules.ORACLE,
 }
