@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, quality_grade, quality_rules, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, quality_grade, quality_rules, toxicity, url_filter
 from tessera.llm.frames import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grade.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op3_quality_grade": op3_quality_grade,
+    "op4_decontamination": op4_decontamination,
     "op5_url_cascade": op5_url_cascade,
     "op6_bpe": op6_bpe,
     "op8_host_rules": op8_host_rules,
