@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Rolling, mix, slices, words
+from tessera.llm.text import Rolling, slices, words
 
 #: Code points below this are lower-cased by table.
 _CASED = 0x590
@@ -24,39 +24,57 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(points < _CASED, _LOWER[np.minimum(points, _CASED - 1)], points), first[offsets]
 
 
-def grams(points: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash bucket of each n-gram inside a row, and its row."""
-    count = len(points) - n + 1
-    if count <= 0:
-        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-    h = np.full(count, n, dtype=np.uint64)
-    for k in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + count]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:count]
-    inside = np.arange(count) + n <= offsets[1:][row]
-    return (mix(h) >> np.uint64(64 - bits)).astype(np.uint32)[inside], row[inside]
+#: Buckets have so many bits: hardly two n-grams of a corpus sample share one.
+BITS = 30
+_COARSE = 20
 
 
-def features(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of all n-grams of the given orders and, if asked for, of all words."""
+class Wanted:
+    """Chosen buckets: a coarse table turns nearly all others away before the exact search."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.buckets = np.sort(buckets)
+        self.coarse = np.zeros(1 << _COARSE, dtype=bool)
+        self.coarse[self.buckets & ((1 << _COARSE) - 1)] = True
+
+    def among(self, buckets: np.ndarray) -> np.ndarray:
+        """Positions of the chosen ones."""
+        at = np.flatnonzero(self.coarse[buckets & np.uint32((1 << _COARSE) - 1)])
+        place = np.minimum(np.searchsorted(self.buckets, buckets[at]), max(len(self.buckets) - 1, 0))
+        return at[self.buckets[place] == buckets[at]] if len(self.buckets) else at[:0]
+
+
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], with_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(bucket, first position, offsets of the rows, length) of all n-grams of the given orders, which may cross rows, and, if asked for, of all words."""
     points, where = code_points(data, offsets)
-    for n in orders:
-        yield grams(points, where, n, bits)
+    h = np.zeros(len(points), dtype=np.uint32)
+    for n in range(1, max(orders, default=0) + 1):
+        if len(points) < n:
+            break
+        h = h[: len(points) - n + 1] * np.uint32(0x01000193) + points[n - 1 :]
+        if n in orders:
+            yield bucket_of(h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)), np.arange(len(h)), where, n
     if with_words:
         a, b, first = words(data, offsets)
-        yield (Rolling(data)(a, b) >> np.uint64(64 - bits)).astype(np.uint32), np.repeat(np.arange(len(first) - 1), np.diff(first))
+        yield (Rolling(data)(a, b) >> np.uint64(64 - BITS)).astype(np.uint32), np.arange(len(a)), first, 1
 
 
-def present(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket), each pair once; with `wanted` (a flag per bucket) only buckets that count."""
+def present(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], with_words: bool, wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket), each pair once; with `wanted` only chosen buckets."""
     keys = []
-    for index, row in features(data, offsets, orders, bits, with_words):
+    for bucket, at, where, n in features(data, offsets, orders, with_words):
         if wanted is not None:
-            few = wanted[index]
-            index, row = index[few], row[few]
-        keys.append((row.astype(np.int64) << bits) | index)
+            at = wanted.among(bucket)
+        row = np.searchsorted(where, at, side="right") - 1 if wanted is not None else np.repeat(np.arange(len(where) - 1), np.diff(where))[: len(at)]
+        inside = at + n <= where[row + 1]
+        keys.append((row[inside].astype(np.int64) << BITS) | bucket[at[inside]])
     keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-    return keys >> bits, (keys & ((1 << bits) - 1)).astype(np.int64)
+    return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, keep, most: int) -> DataFrame:
@@ -73,14 +91,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, keep, mo
     return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "target")
 
 
-def counts(sample: DataFrame, orders: tuple[int, ...], bits: int, with_words: bool) -> DataFrame:
+def counts(sample: DataFrame, orders: tuple[int, ...], with_words: bool) -> DataFrame:
     """(bucket, target, n): in how many sample rows of a target each bucket is present."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "text", 4 << 20):
-            row, index = present(data, offsets, orders, bits, with_words)
-            key, n = np.unique((rows.column("target").to_numpy()[row].astype(np.int64) << bits) | index, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key & ((1 << bits) - 1), pa.int32()), pa.array(key >> bits, pa.int32()), pa.array(n, pa.int64())], names=["bucket", "target", "n"])
+        for rows, data, offsets in slices(batches, "text", 1 << 20):
+            row, index = present(data, offsets, orders, with_words)
+            key, n = np.unique((rows.column("target").to_numpy()[row].astype(np.int64) << BITS) | index, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key & ((1 << BITS) - 1), pa.int32()), pa.array(key >> BITS, pa.int32()), pa.array(n, pa.int64())], names=["bucket", "target", "n"])
 
     return sample.mapInArrow(run, "bucket int, target int, n long").groupBy("bucket", "target").agg(F.sum("n").alias("n"))
 
@@ -92,15 +110,14 @@ def strongest(by_target: DataFrame, strength: Column, targets: list[int], least:
     return np.sort(np.array([r.bucket for r in top.collect()], dtype=np.int64))
 
 
-def lists(sample: DataFrame, buckets: np.ndarray, orders: tuple[int, ...], bits: int, with_words: bool) -> DataFrame:
+def lists(sample: DataFrame, buckets: np.ndarray, orders: tuple[int, ...], with_words: bool) -> DataFrame:
     """(target, features): which of the chosen buckets, by their place among them, each sample row has."""
     held = sample.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << bits, dtype=bool)
-        wanted[held.value] = True
+        wanted = Wanted(held.value)
         for rows, data, offsets in slices(batches, "text", 1 << 20):
-            row, index = present(data, offsets, orders, bits, with_words, wanted)
+            row, index = present(data, offsets, orders, with_words, wanted)
             where = np.searchsorted(row, np.arange(rows.num_rows + 1))
             got = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.searchsorted(held.value, index), pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column("target"), got], names=["target", "features"])
@@ -136,9 +153,9 @@ def descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
     return x
 
 
-def sums(batches, column: str, orders: tuple[int, ...], bits: int, with_words: bool, weights: np.ndarray):
-    """(rows, sum of the weights of all buckets present in each row's text)."""
-    wanted = weights != 0
+def sums(batches, column: str, orders: tuple[int, ...], with_words: bool, buckets: np.ndarray, weights: np.ndarray):
+    """(rows, sum of the weights of all chosen buckets, in rising order, that are present in each row's text)."""
+    wanted = Wanted(buckets)
     for rows, data, offsets in slices(batches, column, 1 << 20):
-        row, index = present(data, offsets, orders, bits, with_words, wanted)
-        yield rows, np.bincount(row, weights[index], minlength=rows.num_rows)
+        row, bucket = present(data, offsets, orders, with_words, wanted)
+        yield rows, np.bincount(row, weights[np.searchsorted(wanted.buckets, bucket)], minlength=rows.num_rows)

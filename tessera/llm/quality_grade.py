@@ -21,9 +21,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.hashed import Sample, counts, descend, labelled_sample, lists, strongest, sums
 
-MOST_ROWS = 20_000
+MOST_ROWS = 12_000
 ORDERS = (1, 2, 3)
-BITS = 18
 #: Features that may have a weight, and the sample rows that each must be in.
 MOST_FEATURES, LEAST_ROWS = 1 << 12, 6
 #: Documents with P(grade >= SELECT) of MIN_TAIL or more are selected.
@@ -76,9 +75,9 @@ def train(docs: DataFrame, labels: DataFrame, target: Column | None = None, keep
         return np.zeros(0, dtype=np.int64), np.zeros(0), []
     total = sum(rows.values())
     spread = sum((F.abs(F.col(f"n_{g}") - F.col("n") * rows[g] / total) for g in grades), F.lit(0.0)) / F.sqrt(F.col("n") + 1)
-    buckets = strongest(counts(sample, ORDERS, BITS, True), spread, grades, LEAST_ROWS, MOST_FEATURES)
+    buckets = strongest(counts(sample, ORDERS, True), spread, grades, LEAST_ROWS, MOST_FEATURES)
     size = len(buckets)
-    model = lists(sample, buckets, ORDERS, BITS, True).groupBy().applyInArrow(lambda table: fit(table, size, grades), "feature int, weight double").toPandas().sort_values("feature")
+    model = lists(sample, buckets, ORDERS, True).groupBy().applyInArrow(lambda table: fit(table, size, grades), "feature int, weight double").toPandas().sort_values("feature")
     weights = model["weight"].to_numpy()
     return buckets, weights[:size], [(grades[0], float("-inf")), *zip(grades[1:], weights[size:].tolist(), strict=True)]
 
@@ -92,10 +91,8 @@ def grade(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, known, steps = held.value
-        weights = np.zeros(1 << BITS)
-        weights[buckets] = known
         grades = [g for g, _ in steps]
-        for rows, z in sums(batches, text, ORDERS, BITS, True, weights):
+        for rows, z in sums(batches, text, ORDERS, True, buckets, known):
             tails = np.stack([sigmoid(z - t) if np.isfinite(t) else np.ones(len(z)) for _, t in steps], axis=1) if steps else np.ones((len(z), 0))
             expected = grades[0] + tails[:, 1:] @ np.diff(grades) if steps else np.zeros(len(z))
             maps = pa.array([list(zip(grades, row, strict=True)) for row in tails.tolist()], pa.map_(pa.int32(), pa.float64()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontaminate, quality_grade, quality_rules, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, toxicity, url_filter
 from tessera.llm.frames import table
 
 
@@ -36,6 +36,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_url_cascade": op5_url_cascade,
     "op6_bpe": op6_bpe,
+    "op7_order_minhash": op7_order_minhash,
     "op8_host_rules": op8_host_rules,
     "op10_toxicity": op10_toxicity,
 }

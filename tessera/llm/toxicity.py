@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.hashed import Sample, counts, descend, labelled_sample, lists, strongest, sums
 
-MOST_ROWS = 40_000
+MOST_ROWS = 12_000
 ORDERS = (5, 6, 7)
-BITS = 21
 #: Features that may have a weight, and the sample rows that each must be in.
 MOST_FEATURES, LEAST_ROWS = 1 << 12, 6
 THRESHOLD = 0.7
@@ -50,9 +49,9 @@ def train(docs: DataFrame, labels: DataFrame, keep=lambda doc_id: F.lit(True)) -
     if len(rows) < 2:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -40.0
     ratio = F.log((F.col("n_1") + 1) / (rows[1] + 2) / ((F.col("n_0") + 1) / (rows[0] + 2)))
-    buckets = strongest(counts(sample, ORDERS, BITS, False), F.abs(ratio) * F.sqrt("n"), [0, 1], LEAST_ROWS, MOST_FEATURES)
+    buckets = strongest(counts(sample, ORDERS, False), F.abs(ratio) * F.sqrt("n"), [0, 1], LEAST_ROWS, MOST_FEATURES)
     size = len(buckets)
-    model = lists(sample, buckets, ORDERS, BITS, False).groupBy().applyInArrow(lambda table: fit(table, size), "feature int, weight double").toPandas().sort_values("feature")
+    model = lists(sample, buckets, ORDERS, False).groupBy().applyInArrow(lambda table: fit(table, size), "feature int, weight double").toPandas().sort_values("feature")
     return buckets, model["weight"].to_numpy()[:-1], float(model["weight"].iloc[-1])
 
 
@@ -65,9 +64,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, known, bias = held.value
-        weights = np.zeros(1 << BITS)
-        weights[buckets] = known
-        for rows, z in sums(batches, text, ORDERS, BITS, False, weights):
+        for rows, z in sums(batches, text, ORDERS, False, buckets, known):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(z + bias, -40, 40))))], names=[*names, "score"])
 
     return docs.mapInArrow(run, schema)
