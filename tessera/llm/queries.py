@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, substring_dedup, suffix_array_dedup, toxicity, url_filter
 from tessera.llm.frames import table
 
 
@@ -20,6 +20,10 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grade.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,22 +48,29 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_grade": op3_quality_grade,
     "op4_decontamination": op4_decontamination,
     "op5_url_cascade": op5_url_cascade,
     "op6_bpe": op6_bpe,
     "op7_order_minhash": op7_order_minhash,
     "op8_host_rules": op8_host_rules,
+    "op9_suffix_array": op9_suffix_array,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_windows": chat.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op5_url_cascade": url_filter.ORACLE,
     "op8_host_rules": quality_rules.ORACLE,
 }
