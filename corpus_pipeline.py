@@ -1,17 +1,69 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: quality rules, near-duplicates, substring dedup, decontamination, BPE round trip.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's rows
+as Parquet and reads them again for the next one. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import queries as Q
+from tessera.llm import bpe, decontaminate, near_dup, quality_rules, substring_dedup
+from tessera.llm.frames import cut, shared_folder, table
+from tessera.llm.queries import vocabulary
 
+#: Up to so many leaked ids are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+#: The steps are too different from SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = [("bpe", lambda spark, docs, sf_dir: docs)]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
+    return quality_rules.keep(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dup.keep(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that an earlier document has, too, are cut out; n_chars follows, and documents without words left go."""
+    cleaned = substring_dedup.deduplicated(docs)
+    left = cleaned.filter((F.col("n_words") > F.col("n_removed")) | (F.col("n_words") == 0))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold question and answer of a test item go."""
+    leaked = cut(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    few = leaked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(leaked) if few else leaked, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the digests of ids and decoded text."""
+    return bpe.digest(docs, vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", one_of_each),
+    ("substring_dedup", without_repeats),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Q.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -12,16 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from the files.
-
-    The folder is the one that the session names in spark.checkpoint.dir; a folder of our own serves
-    only where nothing is set, as in tests. The files are in shared storage, so a lost executor costs nothing.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where nothing is set, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and go on from the files: a lost executor then costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
