@@ -68,11 +68,11 @@ def keyword_leg(spark: SparkSession, sf_dir: str, top: int = LEG_WINDOW) -> Data
 
 
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_leg(spark, sf_dir, 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return keyword_leg(spark, sf_dir, 10).select("item_id", "doc_id", "score", "rank")
 
 
 FTS_SQL = f"""WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm)
-SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank < 10"""
+SELECT item_id, doc_id, score, rank FROM r WHERE rank < 10"""
 
 
 def vector_leg(spark: SparkSession, sf_dir: str, top: int = LEG_WINDOW) -> DataFrame:
@@ -90,10 +90,10 @@ vec AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc
 
 
 def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_leg(spark, sf_dir, 10).select("item_id", "doc_id", F.round("distance", 4).alias("distance"), "rank")
+    return vector_leg(spark, sf_dir, 10).select("item_id", "doc_id", "distance", "rank")
 
 
-VECTOR_KNN_SQL = f"WITH {VECTOR_SQL} SELECT item_id, doc_id, round(distance, 4) AS distance, rank FROM vec WHERE rank < 10"
+VECTOR_KNN_SQL = f"WITH {VECTOR_SQL} SELECT item_id, doc_id, distance, rank FROM vec WHERE rank < 10"
 
 
 def fused(semantic: DataFrame, keyword: DataFrame, w_semantic: float = WEIGHT_SEMANTIC, w_keyword: float = WEIGHT_KEYWORD) -> DataFrame:
@@ -113,7 +113,7 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each item by fused ranks, with evidence by leg, relevance, and the document's source."""
     hits = ranked(fused(vector_leg(spark, sf_dir), keyword_leg(spark, sf_dir)), "item_id", [F.desc("fused"), "doc_id"], 10)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 80).alias("excerpt"))
-    return hits.join(docs, "doc_id", "left").select("item_id", "doc_id", "rank", F.round("fused", 6).alias("fused"), "rank_semantic", "rank_keyword", "relevance", "source", "excerpt")
+    return hits.join(docs, "doc_id", "left").select("item_id", "doc_id", "rank", "fused", "rank_semantic", "rank_keyword", "relevance", "source", "excerpt")
 
 
 HYBRID_SQL = f"""WITH {BM25_SQL},
@@ -125,7 +125,7 @@ f AS (SELECT item_id, doc_id, s.rank AS rank_semantic, k.rank AS rank_keyword, d
   round(coalesce(2.0 / (61 + s.rank), 0) + coalesce(1.0 / (61 + k.rank), 0), 9) AS fused
   FROM s FULL JOIN k USING (item_id, doc_id) LEFT JOIN bg USING (item_id)),
 h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) - 1 AS rank FROM f)
-SELECT item_id, doc_id, rank, round(fused, 6) AS fused, rank_semantic, rank_keyword,
+SELECT item_id, doc_id, rank, fused, rank_semantic, rank_keyword,
   CASE WHEN distance IS NOT NULL AND background > 0 THEN round(least(1.0, greatest(0.0, 1 - distance / background)), 4) END AS relevance, source, substr(text, 1, 80) AS excerpt
 FROM h LEFT JOIN documents USING (doc_id) WHERE rank < 10"""
 
@@ -195,11 +195,11 @@ def distance_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item the mean distance of its window and the nearest-rank 99th percentile of it."""
     near = vector_leg(spark, sf_dir)
     ordered = near.groupBy("item_id").agg(F.sort_array(F.collect_list("distance")).alias("d"))
-    return ordered.select("item_id", F.round(F.expr("aggregate(d, 0D, (s, x) -> s + x) / size(d)"), 4).alias("background"), F.expr("round(d[int(round((size(d) - 1) * 0.99))], 4)").alias("p99"))
+    return ordered.select("item_id", F.round(F.expr("aggregate(d, 0D, (s, x) -> s + x) / size(d)"), 4).alias("background"), F.expr("d[int(round((size(d) - 1) * 0.99))]").alias("p99"))
 
 
 THRESHOLD_SQL = f"""WITH {VECTOR_SQL}, d AS (SELECT item_id, list(distance ORDER BY distance) AS d FROM vec WHERE rank < 60 GROUP BY item_id)
-SELECT item_id, round(list_avg(d), 4) AS background, round(d[1 + round((len(d) - 1) * 0.99)::INT], 4) AS p99 FROM d"""
+SELECT item_id, round(list_avg(d), 4) AS background, d[1 + round((len(d) - 1) * 0.99)::INT] AS p99 FROM d"""
 
 
 def cosine_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,12 +209,12 @@ def cosine_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.join(table(spark, sf_dir, "benchmark").select("item_id"), F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("q"))
     near = vectors.join(F.broadcast(queries)).filter("vec_id != item_id and size(embedding) = size(q)").select("item_id", "vec_id", F.round(cosine("embedding", "q"), 6).alias("cosine")).filter("cosine >= 0.34")
-    return ranked(near, "item_id", [F.desc("cosine"), "vec_id"], 8).select("item_id", "vec_id", F.round("cosine", 4).alias("cosine"), "rank")
+    return ranked(near, "item_id", [F.desc("cosine"), "vec_id"], 8).select("item_id", "vec_id", "cosine", "rank")
 
 
 COSINE_SQL = """WITH c AS (SELECT q.vec_id AS item_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, vec_id) - 1 AS rank FROM c WHERE cosine >= 0.34)
-SELECT item_id, vec_id, round(cosine, 4) AS cosine, rank FROM r WHERE rank < 8"""
+SELECT item_id, vec_id, cosine, rank FROM r WHERE rank < 8"""
 
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
