@@ -109,7 +109,7 @@ def codec(path: str) -> ForcedBoundaryCodec:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Append `ids` (array of int), and with `decoded` also the text decoded from them in the same pass."""
     names = [c for c in docs.columns if c not in (ids, decoded)]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + [T.StructField(decoded, T.StringType())] * bool(decoded))
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

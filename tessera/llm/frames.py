@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are gone: it does so when their driver objects are collected, and the result they led to is in the checkpoint folder."""
+    for _ in range(2):  # the first round frees what held the frames' plans, the second the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def shield(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct, so that no name of theirs can clash with a working column."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*(f"`{c}`" for c in docs.columns if c in used), *([F.struct(*(f"`{c}`" for c in rest)).alias("_rest")] if rest else []))
+
+
+def unshield(docs: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns as they were before shield(), and more ones."""
+    inside = docs.schema["_rest"].dataType.names if "_rest" in docs.columns else []
+    return docs.select(*(F.col("_rest").getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in names if c not in more), *more)
+
+
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Two columns that tell rows apart even where doc_id repeats or is null: the id (null: the largest) and a text hash."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("key_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key_text")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("key_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("key_text")]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import cut
+from tessera.llm.frames import cut, shield, unshield
 from tessera.llm.text import WORD
 
 MIN_WORDS = 20
@@ -112,14 +112,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with all their columns; measured in a first pass for the hosts and again for the rows."""
-    columns = [f"`{c}`" for c in docs.columns]
+    original, docs = docs.columns, shield(docs, text, host)
+    columns = docs.columns
     judged = with_repeats(with_words(docs.select(*columns, F.coalesce(F.col(host), F.lit("")).alias("_host")), text))
     # Without the row number the filter would be pushed below the measures, and their nested expressions copied into it many times over.
     judged = judged.select(*columns, "_host", base_failed().alias("_failed"), F.monotonically_increasing_id().alias("_row"))
     bad, few = rejected_hosts(judged.select(F.col("_host").alias("host"), F.col("_failed").alias("base_failed")))
     passed = judged.filter(~F.col("_failed") & (F.col("_row") >= 0))
     bad = bad.withColumnRenamed("host", "_host")
-    return passed.join(F.broadcast(bad) if few else bad, "_host", "left_anti").select(*columns)
+    return unshield(passed.join(F.broadcast(bad) if few else bad, "_host", "left_anti"), original)
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ corpus are lengthened up to the whole window, so every group fits into one task'
 sorted into a tree of word prefixes of growing depth, down to the window length; suffixes under one deep node share
 the window, and the node's smallest document decides.
 
-Defined results: null texts have no words; a null doc_id counts as larger than all others; rows with one doc_id are
+Defined results: columns named like the new ones are replaced; null texts have no words; a null doc_id counts as larger than all others; rows with one doc_id are
 no earlier documents for each other; texts shorter than a window stay whole; other columns stay.
 """
 
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.frames import shield, unshield
 from tessera.llm.repeats import Kind, gone_mask, with_spans
 
 WINDOW = 13
-KIND = Kind(by_words=True, length=WINDOW, gram=5, split=1, by_order=True, growth=3.6)
+KIND = Kind(by_words=True, length=WINDOW, gram=3, split=1, by_order=True, growth=3.6)
 
 
 def tree_nodes(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -74,8 +75,8 @@ def _solved(groups: list[list[bytes]], weights: list[np.ndarray]) -> list[list[n
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of docs, text reduced to the kept words joined by one space where words went (and as it was elsewhere), with n_words, n_removed and kept_sha256 (of the kept words joined by one space)."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    names = [c for c in docs.columns if c not in {f.name for f in added}]
-    docs = docs.select(*(f"`{c}`" for c in names))
+    original, docs = docs.columns, shield(docs, "doc_id", "text")
+    names = docs.columns
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(facts[0], pa.int64()), pa.array(facts[1], pa.int64()), pa.array(facts[2])], names=schema.names)
 
-    return with_spans(docs, KIND, solve).select(*(f"`{c}`" for c in names), "gone").mapInArrow(run, schema)
+    return unshield(with_spans(docs, KIND, solve).select(*names, "gone").mapInArrow(run, schema), original, "n_words", "n_removed", "kept_sha256")
 
 
 def digest(docs: DataFrame) -> DataFrame:

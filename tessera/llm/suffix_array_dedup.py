@@ -5,7 +5,7 @@ extension: from the intervals of strings of one length come those of all strings
 that ends at a boundary not seen before sets this boundary's common prefix. Common prefixes appear in rising order, so
 the search stops at the minimum length; suffixes that no boundary parts by then share that many bytes.
 
-Defined results: null texts are empty; matches never cross documents; overlapping occurrences and those in one
+Defined results: columns named like the new ones are replaced; null texts are empty; matches never cross documents; overlapping occurrences and those in one
 document count; repeated rows are occurrences of their own; other columns stay.
 """
 
@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.frames import shield, unshield
 from tessera.llm.repeats import Kind, gone_mask, with_spans
 from tessera.llm.text import spread
 
 LENGTH = 400
-KIND = Kind(by_words=False, length=LENGTH, gram=96, split=64, by_order=False, growth=3.7)
+KIND = Kind(by_words=False, length=LENGTH, gram=32, split=64, by_order=False, growth=3.7)
 #: Bytes of bodies that are transformed at once.
 TEXT = 1 << 20
 _PACK = 7
@@ -122,8 +123,8 @@ def _solved(groups: list[list[bytes]], weights: list[np.ndarray], some: list[int
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of docs, with kept (binary: the remaining bytes), n_bytes, n_removed and n_spans."""
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
-    names = [c for c in docs.columns if c not in {f.name for f in added}]
-    docs = docs.select(*(f"`{c}`" for c in names))
+    original, docs = docs.columns, shield(docs, "doc_id", "text")
+    names = docs.columns
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                         o.append(x)
                 yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(out[0], pa.binary()), *(pa.array(o, pa.int64()) for o in out[1:])], names=schema.names)
 
-    return with_spans(docs, KIND, solve).select(*(f"`{c}`" for c in names), "gone").mapInArrow(run, schema)
+    return unshield(with_spans(docs, KIND, solve).select(*names, "gone").mapInArrow(run, schema), original, "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def digest(docs: DataFrame) -> DataFrame:
