@@ -21,12 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import cut, doc_key
-from tessera.llm.text import Rolling, mix, sliding_min, slices, spread, words
+from tessera.llm.frames import cut, doc_key, release
+from tessera.llm.text import Rolling, mix, sliding_min, slices, words
 
 #: Bytes of text in a slice, and of bodies in a bucket.
 SLICE = 2 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -123,6 +123,17 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[at], start[at], reach[last] - base[last]
 
 
+def thin(x: np.ndarray) -> np.ndarray:
+    """Differences in the smallest integer type that holds them; keys of one order then compress to little."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    low, high = (int(d.min()), int(d.max())) if len(d) else (0, 0)
+    return d.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def thick(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=np.int64)
+
+
 def packed(docs: DataFrame, kind: Kind, hot: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, payload): bodies by bucket, and ranges that are settled already."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
@@ -149,27 +160,30 @@ def packed(docs: DataFrame, kind: Kind, hot: np.ndarray, buckets: int) -> DataFr
             place = r.first - first[r.row]
             s = order[settled]
             owner, begin, end = merged(r.row[s], place[s], place[s] + size[s])
-            done = (ids[owner], texts[owner], begin, end)
+            done = tuple(map(thin, (ids[owner], texts[owner], begin, end)))
             o, og = order[~settled], group[~settled]
             bucket = (r.key[lead] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            short = ((r.key[lead] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            by = np.lexsort((r.first[lead], bucket))
             where = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            owner_by = np.argsort(bucket[og], kind="stable")
-            owner_where = np.searchsorted(bucket[og][owner_by], np.arange(buckets + 1))
             rank = np.empty(len(lead), dtype=np.int64)
             rank[by] = np.arange(len(lead))
+            owner_by = np.argsort(rank[og], kind="stable")
+            owner_where = np.searchsorted(bucket[og][owner_by], np.arange(buckets + 1))
             spare = int(ids[0] % buckets)
-            out_b, out_p = [], []
+            raw, out_b, out_p = memoryview(data), [], []
             for k in range(buckets):
-                mine = lead[by[where[k] : where[k + 1]]]
+                some = by[where[k] : where[k + 1]]
+                mine = lead[some]
                 if not len(mine) and not (k == spare and len(done[0])):
                     continue
                 from_, to = (r.first[mine], r.first[mine] + size[mine]) if a is None else (a[r.first[mine]], b[r.last[mine] + kind.length - 1])
                 mo = owner_by[owner_where[k] : owner_where[k + 1]]
                 which = o[mo]
+                docs_here, doc = np.unique(r.row[which], return_inverse=True)
                 payload = (
-                    data[spread(from_, to - from_)].tobytes(), (to - from_).astype(np.int32), r.key[mine], count[by[where[k] : where[k + 1]]] > 1, ids[r.row[mine]],
-                    (rank[og[mo]] - where[k]).astype(np.int32), ids[r.row[which]], texts[r.row[which]], place[which], done if k == spare else None,
+                    b"".join([raw[x:y] for x, y in zip(from_.tolist(), to.tolist(), strict=True)]), thin(to - from_), short[some], np.packbits(count[some] > 1),
+                    thin(rank[og[mo]] - where[k]), thin(ids[docs_here]), texts[docs_here].astype(np.int32), thin(doc), thin(place[which]), done if k == spare else None,
                 )
                 out_b.append(k)
                 out_p.append(press.compress(pickle.dumps(payload, protocol=5)))
@@ -187,20 +201,22 @@ def settle(kind: Kind, solve: Solve, payloads: Iterator[bytes]) -> tuple[np.ndar
     """(id, text, start, end) of all ranges that go, from all payloads of one bucket."""
     unpress = zstandard.ZstdDecompressor()
     got = [pickle.loads(unpress.decompress(p)) for p in payloads]  # noqa: S301
-    out = [[np.asarray(x) for x in g[9]] for g in got if g[9] is not None]
-    keys = np.concatenate([g[2] for g in got])
-    sizes = np.concatenate([g[1] for g in got]).astype(np.int64)
-    twice = np.concatenate([g[3] for g in got])
-    least = np.concatenate([g[4] for g in got])
+    out = [[thick(x) for x in g[9]] for g in got if g[9] is not None]
+    sizes_of = [thick(g[1]) for g in got]
+    sizes, keys = np.concatenate(sizes_of), np.concatenate([g[2] for g in got])
+    twice = np.concatenate([np.unpackbits(g[3], count=len(g[2])) for g in got])
     base = np.concatenate(([0], np.cumsum([len(g[2]) for g in got])))
-    owner = [np.concatenate([g[5] + base[k] for k, g in enumerate(got)]), *(np.concatenate([g[c] for g in got]) for c in (6, 7, 8))]
+    doc = [thick(g[7]) for g in got]
+    owner = [np.concatenate(x) for x in ([thick(g[4]) + base[k] for k, g in enumerate(got)], [thick(g[5])[d] for g, d in zip(got, doc, strict=True)], [g[6].astype(np.int64)[d] for g, d in zip(got, doc, strict=True)], [thick(g[8]) for g in got])]
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, owner[0], owner[1])
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(order), dtype=bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     starts = np.append(np.flatnonzero(new), len(order))
     many = np.flatnonzero(np.diff(starts) > 1)
     block = np.searchsorted(base, np.arange(len(keys)), side="right") - 1
-    offset = np.concatenate([np.concatenate(([0], np.cumsum(g[1])[:-1])) if len(g[1]) else np.zeros(0, dtype=np.int64) for g in got]).astype(np.int64)
+    offset = np.concatenate([np.cumsum(x) - x for x in sizes_of])
     groups, weights, members = [], [], []
     for k in many.tolist():
         different: dict[bytes, list[int]] = {}
@@ -250,7 +266,9 @@ def spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
 def with_spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """All rows and columns of docs, with key_id, key_text and gone (null: nothing goes)."""
     keyed = docs.select("*", *doc_key())
-    return keyed.join(spans(keyed.select("text", "key_id", "key_text"), kind, solve), ["key_id", "key_text"], "left")
+    found = spans(keyed.select("text", "key_id", "key_text"), kind, solve)
+    release(docs.sparkSession)
+    return keyed.join(found, ["key_id", "key_text"], "left")
 
 
 def gone_mask(gone: pa.Array, k: int, n: int) -> np.ndarray | None:
