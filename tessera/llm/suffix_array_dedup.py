@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.frames import shield, unshield
 from tessera.llm.repeats import Kind, gone_mask, with_spans
-from tessera.llm.text import spread
+from tessera.llm.text import Rolling, spread
 
 LENGTH = 400
 KIND = Kind(by_words=False, length=LENGTH, gram=32, split=64, by_order=False, growth=3.7)
@@ -104,18 +104,28 @@ def solve(groups: list[list[bytes]], weights: list[np.ndarray]) -> list[list[np.
 
 
 def _solved(groups: list[list[bytes]], weights: list[np.ndarray], some: list[int], out: list) -> None:
+    """Solve the groups numbered in `some` into out; bodies in which not even a hash of a window recurs stay out of the transform."""
     bodies = [b for k in some for b in groups[k]]
+    weight = np.concatenate([weights[k] for k in some])
     sizes = np.array([len(b) for b in bodies])
-    raw = np.frombuffer(b"".join(bodies), dtype=np.uint8).astype(np.int16) + 1
-    text = np.zeros(len(raw) + len(bodies), dtype=np.int64)
-    text[np.arange(len(raw)) + np.repeat(np.arange(len(bodies)), sizes)] = raw
-    order, edge = parted(text, LENGTH)
-    group = np.empty(len(text), dtype=np.int64)
-    group[order] = np.cumsum(edge) - 1
+    joined = np.frombuffer(b"".join(bodies), dtype=np.uint8)
     n = sizes - LENGTH + 1
-    at = spread(np.concatenate(([0], np.cumsum(sizes + 1)[:-1])), n)
-    times = np.bincount(group[at], np.repeat(np.concatenate([weights[k] for k in some]), n))
-    parts = iter(np.split(times[group[at]] > 1, np.cumsum(n)[:-1]))
+    at = spread(np.cumsum(sizes) - sizes, n)
+    body = np.repeat(np.arange(len(bodies)), n)
+    same = np.unique(Rolling(joined)(at, at + LENGTH), return_inverse=True)[1]
+    recurs = np.bincount(same, weight[body])[same] > 1
+    inside = np.unique(body[recurs])
+    flags = np.zeros(len(at), dtype=bool)
+    if len(inside):
+        raw = np.concatenate([np.frombuffer(bodies[k] + b"\0", dtype=np.uint8) for k in inside.tolist()])
+        text = raw.astype(np.int64) + 1
+        text[np.cumsum(sizes[inside] + 1) - 1] = 0
+        order, edge = parted(text, LENGTH)
+        group = np.empty(len(text), dtype=np.int64)
+        group[order] = np.cumsum(edge) - 1
+        group = group[spread(np.cumsum(sizes[inside] + 1) - sizes[inside] - 1, n[inside])]
+        flags[np.isin(body, inside)] = np.bincount(group, np.repeat(weight[inside], n[inside]))[group] > 1
+    parts = iter(np.split(flags, np.cumsum(n)[:-1]))
     for k in some:
         out[k] = [next(parts) for _ in groups[k]]
 
