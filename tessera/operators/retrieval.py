@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.functions.hashing import embedder, fact_hash
 from tessera.functions.text import TERMS_SQL, rrf, squared_distance, terms
 from tessera.sources.tables import table
 
@@ -224,7 +225,17 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERM_SQL = f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term"
 
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag-of-words vectors of all documents by hashed words."""
+    return table(spark, sf_dir, "documents").select("doc_id", embedder()(F.col("text")).alias("embedding"))
+
+
+def fact_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", fact_hash(F.concat_ws(" is ", "p_name", "p_type")).alias("fact_hash"))
+
+
 QUERIES = {
+    "hash_embeddings": hash_embeddings, "fact_hashes": fact_hashes,
     "hybrid_retrieval": hybrid_retrieval, "fts_bm25_topk": fts_bm25_topk, "vector_knn": vector_knn, "search_evidence_counts": search_evidence_counts,
     "keyword_ladder": keyword_ladder, "retrieval_metrics": retrieval_metrics, "distance_threshold": distance_threshold, "cosine_floor": cosine_floor, "term_frequencies": term_frequencies,
 }

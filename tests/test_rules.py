@@ -66,3 +66,13 @@ def test_components_and_communities(spark):
     two = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0")]
     found = local_moving(pd.DataFrame(two, columns=["a", "b"]))
     assert found.groupby(found["node"].str[0])["community"].nunique().tolist() == [1, 1] and found["community"].nunique() == 2
+
+
+def test_hashes(spark):
+    from tessera.functions.hashing import embedder, fact_hash, fnv1a
+
+    assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    df = spark.createDataFrame([("A  b\nB",), (None,), ("--",)], "t string")
+    got = df.select(embedder(8)(F.col("t")).alias("v"), fact_hash("t").alias("h")).collect()
+    assert abs(sum(x * x for x in got[0].v) - 1) < 1e-6 and not any(got[1].v) and not any(got[2].v)
+    assert got[0].h == f"{fnv1a(b'a b b'):016x}"
