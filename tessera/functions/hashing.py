@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of FNV-1a with 64 bits, and the embedding's default and least dimensions.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -26,7 +27,7 @@ def of_word(word: str) -> int:
     return fnv1a(word.encode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fact_hash(texts: pd.Series) -> pd.Series:
     """Hex FNV-1a of the text in lower case with white space collapsed."""
     return texts.map(lambda t: f"{fnv1a(' '.join((t or '').lower().split()).encode()):016x}")
@@ -36,7 +37,7 @@ def embedder(dimensions: int = DIMENSIONS):
     """A column function: counts of words by hash modulo the dimensions, at unit length; a text without words is all zeros."""
     size = max(dimensions, LEAST_DIMENSIONS)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
