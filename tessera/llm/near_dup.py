@@ -1,9 +1,10 @@
 """Near-duplicates by Order MinHash.
 
 A document is its sequence of five-word shingles, each labelled with how often it occurred before. For each of BANDS
-hash functions the KEEP smallest labelled shingles are kept in the order of the text; documents with two such tuples
+hash functions the KEEP smallest labelled shingles are kept in the order of the text; documents with one such tuple
 in common are candidates. So a tuple is shared only if the same shingles stand in the same order, which follows edit
-similarity. Candidates are verified by a banded alignment: equal labelled shingles whose places differ by no more than
+similarity. Where one of the two has SHORT shingles or fewer nothing is left to chance: the rarest labelled shingles of
+each text, so many that similar texts must share one of them (a prefix filter), are joined. Candidates are verified by a banded alignment: equal labelled shingles whose places differ by no more than
 the band form a longest common subsequence of n shingles, and the pair is linked if n / (n1 + n2 - n) is SIMILARITY
 or more.
 
@@ -13,8 +14,7 @@ connected are neither compared nor become pivots. Only documents that are linked
 a growing number in each round, until each is connected to its group or has been compared with all of it. So links are
 left out only inside what is connected anyway. Classes are the connected components of the links.
 
-Defined results: documents without words are alone; a text of fewer than five words is one shingle;
-texts of six shingles and fewer hold all of them in each tuple and so are candidates for texts with equal shingles only; a class is named
+Defined results: documents without words are alone; a text of fewer than five words is one shingle; a class is named
 by its smallest doc_id (null: after all others); repeated rows and equal texts are in one class; other columns are
 ignored; an empty table gives no rows.
 """
@@ -36,9 +36,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 KEEP = 6
-#: Candidates share two bands that are so many places apart, round the ring of bands, at the most. At a similarity of
-#: 0.8 a pair shares 8 of 32 on average, and no such two with a chance of 2e-3 (0.85: below 1e-4).
-REACH = 8
+#: Pairs whose shorter text has so many shingles at the most are found without chance. Both then have no more than LISTED.
+SHORT = 30
+LISTED = int(SHORT / SIMILARITY)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +123,22 @@ def number(doc_id: str = "doc_id"):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
 
 
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int64()))
+
+
 def keys(docs: DataFrame) -> DataFrame:
-    """(id, node, n, sketch) of all rows: the id, the text's digest, its number of shingles and its tuple hashes."""
+    """(id, node, n, sketch, listed) of all rows: the id, the text's digest, its number of shingles, its tuple hashes (more than SHORT shingles) and all its shingles (up to LISTED)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text", 2 << 20):
             n, hashes = sketches(data, offsets)
-            sizes = np.where(n > 0, BANDS, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(hashes.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("node"), pa.array(n, pa.int64()), lists], names=["id", "node", "n", "sketch"])
+            all_of_them, _ = shingles(data, offsets)
+            listed = lists(all_of_them[np.repeat(n <= LISTED, n)].view(np.int64), np.where(n <= LISTED, n, 0))
+            sketch = lists(hashes[n[n > 0] > SHORT].ravel(), np.where(n > SHORT, BANDS, 0))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("node"), pa.array(n, pa.int64()), sketch, listed], names=["id", "node", "n", "sketch", "listed"])
 
-    return docs.select(number().alias("id"), digest().alias("node"), "text").mapInArrow(run, "id long, node string, n long, sketch array<long>")
+    return docs.select(number().alias("id"), digest().alias("node"), "text").mapInArrow(run, "id long, node string, n long, sketch array<long>, listed array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -150,20 +155,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
 
+def prefixes(reps: DataFrame) -> DataFrame:
+    """(node, key) of the shingles of texts up to LISTED of which similar texts share one: all but ceil(SIMILARITY * n) - 1, rarest first."""
+    own = reps.select("node", "n", F.explode("listed").alias("key"))
+    often = own.groupBy("key").agg(F.count("*").alias("times"))
+    ranked = own.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("ranked"))
+    needed = F.expr(f"cast(n - ceil({SIMILARITY} * n - 1e-9) + 1 as int)")
+    return ranked.select("node", F.explode(F.slice("ranked", F.lit(1), needed)).alias("one")).filter("one.times > 1").select("node", "one.key")
+
+
 def groups(reps: DataFrame) -> DataFrame:
-    """(key, node, size) of all groups of two and more texts that share two bands within REACH; pairs of bands are made only of bands that a text shares at all."""
-    bands = reps.select("node", F.posexplode("sketch").alias("band", "tuple"))
-    shared = bands.groupBy("tuple").agg(F.count("*").alias("n")).filter("n > 1").select("tuple")
-    own = bands.join(shared, "tuple").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "tuple"))).alias("bands"))
-    near = f"y.band - x.band <= {REACH} or y.band - x.band >= {BANDS - REACH}"
-    pairs = F.expr(f"flatten(transform(bands, (x, i) -> transform(filter(slice(bands, i + 2, {BANDS}), y -> {near}), y -> xxhash64(x.tuple, y.tuple))))")
-    members = own.select("node", F.explode(pairs).alias("key"))
+    """(key, node, size) of all groups of two and more texts that share a band or, of short ones, a shingle of their prefixes."""
+    members = reps.select("node", F.explode("sketch").alias("key")).unionByName(prefixes(reps))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return cut(members.join(sizes, "key"))
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of linked texts, a star around each pivot; reps holds (node, rep, n, sketch) of each text with words."""
+    """(a, b) of linked texts, a star around each pivot; reps holds (node, rep, n, sketch, listed) of each text with words."""
     members = groups(reps)
     facts = cut(members.groupBy("node").agg(F.sum("size").alias("score")).join(reps.select("node", "rep", "n"), "node"))
     texts = docs.select(number().alias("rep"), digest().alias("node"), "text").join(facts.select("rep", "node"), ["rep", "node"]).dropDuplicates(["node"])
@@ -215,7 +224,7 @@ def components(found: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(id, node, class_id) of every row."""
     rows = cut(keys(docs))
-    reps = cut(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = cut(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("listed").alias("listed")))
     labels = components(links(docs, reps))
     of_text = reps.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_text.groupBy("label").agg(F.min("rep").alias("class_id"))

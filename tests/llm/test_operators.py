@@ -138,6 +138,16 @@ def test_near_duplicates_of_given_documents(spark):
     assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(d).collect()} == {i: root(i) for i in ids}
 
 
+def test_short_near_duplicates_are_all_found(spark):
+    """Texts of n shingles, and those that lost as many as SIMILARITY allows, for each n up to SHORT."""
+    pairs = []
+    for n in [n for n in range(5, near_dup.LISTED + 1) if -(-4 * n // 5) <= near_dup.SHORT] * 3:
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(n + 4)]
+        pairs.append((" ".join(words), " ".join(words[: -(-4 * n // 5) + 4])))
+    d = spark.createDataFrame([(2 * k + end, t) for k, pair in enumerate(pairs) for end, t in enumerate(pair)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(d).collect()} == {i: i - i % 2 for i in range(2 * len(pairs))}
+
+
 def test_alignment_follows_order():
     x = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned(x, x) == 100
