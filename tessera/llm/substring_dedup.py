@@ -1,9 +1,9 @@
-"""Substring dedup: word windows that also start in an earlier document go, found in partitioned suffix trees.
+"""Substring dedup: word windows that also start in an earlier document go, found in groups of suffixes.
 
 Suffixes of the word sequences are dealt out by a sampled gram of their first words; grams that are frequent in the
-corpus are lengthened up to the whole window, so every group fits into one task's memory. In a group the suffixes are
-sorted into a tree of word prefixes of growing depth, down to the window length; suffixes under one deep node share
-the window, and the node's smallest document decides.
+corpus are lengthened up to the whole window, so every group fits into one task's memory. In a group the
+windows are named by prefix doubling, down to the window length (no suffix tree is built); suffixes of one name share
+the window, and its smallest document decides.
 
 Defined results: columns named like the new ones are replaced; null texts have no words; a null doc_id counts as larger than all others; rows with one doc_id are
 no earlier documents for each other; texts shorter than a window stay whole; other columns stay.
