@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +26,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are gone: it does so when their driver objects are collected, and the result they led to is in the checkpoint folder."""
-    for _ in range(2):  # the first round frees what held the frames' plans, the second the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def shield(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one struct, so that no name of theirs can clash with a working column."""
     rest = [c for c in docs.columns if c not in used]

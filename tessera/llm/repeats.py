@@ -2,32 +2,46 @@
 
 Windows of `length` units (bytes or words) that are equal have the same least gram, their anchor, at the same place.
 So consecutive windows of a document with one anchor travel together, as one body of text, to the task that owns the
-anchor, and there windows are compared with each other exactly. Bodies that occur several times in a slice of input
-travel once. Anchors that are frequent in the whole corpus are split further, by the place of the window around the
-anchor and by the text that all windows of that place share, so that no task gets a hot passage whole.
+anchor, and there windows are compared with each other exactly. Bodies whose bytes are equal and that stand in one
+slice of input travel once. Anchors that are frequent in the whole corpus are split further, by the place of the window
+around the anchor and by the text that all windows of that place share, so that no task gets a hot passage whole.
 
-What is done with the bodies of one task is up to the operator: `solve` gets them grouped and tells which windows go.
+Bodies are dealt out in two steps: a slice of input makes COARSE payloads at the most, and only where there are more
+buckets than that does a second exchange deal the payloads of one coarse bucket out to its fine ones. So the number of
+payloads follows the text, and each holds kilobytes.
+
+What is done with the bodies of one task is up to the operator: `solve` gets them and tells which windows go.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import cut, doc_key, release
-from tessera.llm.text import Rolling, mix, sliding_min, slices, words
+from tessera.llm.frames import cut, doc_key
+from tessera.llm.text import Rolling, mix, sliding_min, slices, spread, words
 
-#: Bytes of text in a slice, and of bodies in a bucket.
+#: Bytes of text in a slice, of bodies in a bucket, and of packed payloads that the second exchange takes at once.
 SLICE = 2 << 20
 BUCKET_BYTES = 16 << 20
-_LOW = np.uint64((1 << 24) - 1)
+CHUNK = 24 << 20
+#: Payloads of a slice at the most.
+COARSE = 2048
+#: An anchor is hot from so many runs on, and there are HOT_MOST hot ones at the most (8 bytes each on the driver).
+HOT = 2000
+HOT_MOST = 1_000_000
+#: Copies of earlier texts are left out of the exchange if there are so many at the most (16 bytes each on the driver).
+COPIES_MOST = 2_000_000
+#: Bits for the place of an anchor; longer texts are searched in stretches.
+PLACE_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -45,36 +59,98 @@ class Kind:
 
 @dataclass
 class Runs:
-    """Consecutive windows with one anchor: first and last start, the key, the row."""
+    """Consecutive windows with one anchor: first and last start, the anchor's place, the key, the row."""
 
     first: np.ndarray
     last: np.ndarray
+    anchor: np.ndarray
     key: np.ndarray
     row: np.ndarray
 
 
+@dataclass
+class Bodies:
+    """Different bodies (text, its size, the key, the anchor's unit, whether it stands twice) and who owns them (body, document, place)."""
+
+    text: bytes
+    size: np.ndarray
+    key: np.ndarray
+    anchor: np.ndarray
+    twice: np.ndarray
+    body: np.ndarray
+    id: np.ndarray
+    hash: np.ndarray
+    place: np.ndarray
+
+    def some(self, which: np.ndarray, owners: np.ndarray) -> Bodies:
+        """Those bodies (rising numbers) and those owners (of these bodies)."""
+        starts = np.cumsum(self.size) - self.size
+        text = b"".join([self.text[x:y] for x, y in zip(starts[which].tolist(), (starts + self.size)[which].tolist(), strict=True)])
+        return Bodies(text, self.size[which], self.key[which], self.anchor[which], self.twice[which], np.searchsorted(which, self.body[owners]), self.id[owners], self.hash[owners], self.place[owners])
+
+    def pack(self) -> bytes:
+        docs, doc = np.unique(np.stack((self.id, self.hash), axis=1), axis=0, return_inverse=True)
+        return pickle.dumps((self.text, thin(self.size), self.key, thin(self.anchor), np.packbits(self.twice), thin(self.body), thin(docs[:, 0]), docs[:, 1].astype(np.int32), thin(doc.ravel()), thin(self.place)), protocol=5)
+
+    @staticmethod
+    def unpack(raw: bytes) -> Bodies:
+        text, size, key, anchor, twice, body, ids, hashes, doc, place = pickle.loads(raw)  # noqa: S301
+        doc = thick(doc)
+        return Bodies(text, thick(size), key, thick(anchor), np.unpackbits(twice, count=len(key)).astype(bool), thick(body), thick(ids)[doc], hashes.astype(np.int64)[doc], thick(place))
+
+    @staticmethod
+    def joined(parts: list[Bodies]) -> Bodies:
+        base = np.cumsum([0, *(len(p.key) for p in parts)])
+        out = {f.name: np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Bodies) if f.name not in ("text", "body")}
+        return Bodies(text=b"".join(p.text for p in parts), body=np.concatenate([p.body + b for p, b in zip(parts, base, strict=False)]), **out)
+
+
+def thin(x: np.ndarray) -> np.ndarray:
+    """Differences in the smallest integer type that holds them."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    low, high = (int(d.min()), int(d.max())) if len(d) else (0, 0)
+    return d.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def thick(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=np.int64)
+
+
 def units(kind: Kind, data: np.ndarray, offsets: np.ndarray):
-    """(values to hash, first unit of each row, start and end byte of each unit)."""
+    """(values to hash, first unit of each row, start and end byte of each unit, bytes): of words the bytes are the words, one space after each."""
     if not kind.by_words:
-        return data, offsets, None, None
+        return data, offsets, np.arange(len(data)), np.arange(1, len(data) + 1), data.tobytes()
     a, b, first = words(data, offsets)
-    return Rolling(data)(a, b), first, a, b
+    end = np.cumsum(b - a + 1)
+    tidy = np.full(end[-1] if len(end) else 0, 32, dtype=np.uint8)
+    tidy[spread(end - (b - a + 1), b - a)] = data[spread(a, b - a)]
+    return Rolling(data)(a, b), first, end - (b - a + 1), end, tidy.tobytes()
+
 
+def anchors(h: np.ndarray, width: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """The place of the least of each `width` neighbours, the first of equal ones; found in stretches, so that places fit beside the hash."""
+    low, step = np.uint64((1 << bits) - 1), (1 << bits) - width
+    n = len(h) - width + 1
+    out = np.empty(max(n, 0), dtype=np.int64)
+    for at in range(0, n, step):
+        part = h[at : at + step + width - 1]
+        out[at : at + step] = (sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), width) & low).astype(np.int64) + at
+    return out
 
-def runs(kind: Kind, values: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[Runs, Rolling, np.ndarray]:
-    """The runs of all rows, the rolling hash of the units, and the anchors' hashes by run."""
+
+def runs(kind: Kind, values: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """The runs of all rows, and the anchors' hashes by run."""
     rolling = Rolling(values)
-    n = len(values) - kind.gram + 1
     start = np.arange(max(len(values) - kind.length + 1, 0))
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(start)]
-    start = start[start + kind.length <= first[row + 1]]
+    inside = start + kind.length <= first[row + 1]
+    start, row = start[inside], row[inside]
     if not len(start):
         none = np.zeros(0, dtype=np.int64)
-        return Runs(none, none, none.astype(np.uint64), none), rolling, none.astype(np.uint64)
-    at = np.arange(n)
+        return Runs(none, none, none, none.astype(np.uint64), none), none.astype(np.uint64)
+    at = np.arange(len(values) - kind.gram + 1)
     h = rolling(at, at + kind.gram)
-    least = sliding_min((h & ~_LOW) | at.astype(np.uint64), kind.length - kind.gram + 1)
-    anchor = (least[start] & _LOW).astype(np.int64)
+    anchor = anchors(h, kind.length - kind.gram + 1)[start]
     part = np.zeros(len(start), dtype=np.int64)
     is_hot = np.isin(h[anchor], hot) if len(hot) else np.zeros(len(start), dtype=bool)
     part[is_hot] = (anchor - start)[is_hot] // kind.split
@@ -83,31 +159,58 @@ def runs(kind: Kind, values: np.ndarray, first: np.ndarray, hot: np.ndarray) ->
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(start)) - 1
     a, p, key = anchor[begin], part[begin], h[anchor[begin]]
+    found = key.copy()
     hot_runs = is_hot[begin]
     core = a[hot_runs] - kind.split * p[hot_runs]
-    anchors = key.copy()
     key[hot_runs] = mix(key[hot_runs] ^ mix(rolling(core, core - (kind.split - 1) + kind.length) + p[hot_runs].astype(np.uint64)))
-    return Runs(start[begin], start[end], key, row[start[begin]] if len(row) > start[begin].max() else np.searchsorted(first, start[begin], side="right") - 1), rolling, anchors
+    return Runs(start[begin], start[end], a, key, row[begin]), found
 
 
 def hot_anchors(docs: DataFrame, kind: Kind) -> np.ndarray:
-    """Anchors of a 20,000th of all runs and more, so 20,000 at the most. They only balance the work; results do not depend on them."""
+    """Anchors of HOT runs and more, and of a share of all that lets HOT_MOST pass. They only balance the work; results do not depend on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=np.uint64)
         for _, data, offsets in slices(batches, "text", SLICE):
-            values, first, _, _ = units(kind, data, offsets)
-            anchors, n = np.unique(runs(kind, values, first, none)[2], return_counts=True)
+            values, first, *_ = units(kind, data, offsets)
+            found, n = np.unique(runs(kind, values, first, none)[1], return_counts=True)
             many = n > 1
             total = pa.array([0], pa.int64()), pa.array([int(n.sum())], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([total[0], pa.array(anchors[many].view(np.int64))]), pa.concat_arrays([total[1], pa.array(n[many], pa.int64())])], names=["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([total[0], pa.array(found[many].view(np.int64))]), pa.concat_arrays([total[1], pa.array(n[many], pa.int64())])], names=["anchor", "n"])
 
     found = cut(docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
     total = found.filter("anchor = 0").first()
-    least = max(2000, (total.n if total else 0) // 20_000)
+    least = max(HOT, (total.n if total else 0) // HOT_MOST)
     return np.sort(np.array([r.anchor for r in found.filter((F.col("anchor") != 0) & (F.col("n") > least)).collect()], dtype=np.int64).view(np.uint64))
 
 
+def copies(docs: DataFrame, kind: Kind) -> np.ndarray:
+    """(id, text hash, 1 if later) of rows whose text is that of a row with a smaller id, and of those first ones, if they are few enough to be sent along; else none.
+
+    The later ones need no comparison: all their windows start in the first one, too, and what they share with third rows that one does.
+    """
+    rows = docs.filter(F.octet_length("text") >= kind.length).groupBy(F.md5("text").alias("digest"), "key_id", "key_text").agg(F.lit(1).alias("one"))
+    first = rows.groupBy("digest").agg(F.min("key_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    found = cut(rows.join(first, "digest").selectExpr("key_id", "key_text", "cast(key_id > least as bigint) as later"))
+    if found.limit(COPIES_MOST + 1).count() > COPIES_MOST:
+        return np.zeros((0, 3), dtype=np.int64)
+    table = found.toArrow()
+    known = np.stack([table.column(c).to_numpy() for c in table.column_names], axis=1).astype(np.int64).reshape(-1, 3)
+    return known[np.lexsort((known[:, 1], known[:, 0]))]
+
+
+def is_copy(rows: pa.RecordBatch, known: np.ndarray) -> np.ndarray:
+    """By row 2 for a later copy, 1 for the first of several, else 0."""
+    out = np.zeros(rows.num_rows, dtype=np.int64)
+    if len(known):
+        ids, hashes = rows.column("key_id").to_numpy(), rows.column("key_text").to_numpy()
+        for k in np.flatnonzero(np.isin(ids, known[:, 0])).tolist():
+            low, high = np.searchsorted(known[:, 0], ids[k], side="left"), np.searchsorted(known[:, 0], ids[k], side="right")
+            found = known[low:high][known[low:high, 1] == hashes[k]]
+            out[k] = 1 + found[0, 2] if len(found) else 0
+    return out
+
+
 def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of one owner that touch become one."""
     order = np.lexsort((start, owner))
@@ -123,160 +226,165 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[at], start[at], reach[last] - base[last]
 
 
-def thin(x: np.ndarray) -> np.ndarray:
-    """Differences in the smallest integer type that holds them; keys of one order then compress to little."""
-    d = np.diff(x.astype(np.int64), prepend=0)
-    low, high = (int(d.min()), int(d.max())) if len(d) else (0, 0)
-    return d.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+def ranges(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Rows of document and range, ranges of one document that touch made one."""
+    docs, doc = np.unique(np.stack((ids, hashes), axis=1), axis=0, return_inverse=True)
+    owner, start, end = merged(doc.ravel(), start, end)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs[owner, 0], docs[owner, 1], start, end)], names=["key_id", "key_text", "start", "end"])
+
+
+def bodies(kind: Kind, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray, copied: np.ndarray) -> tuple[Bodies | None, pa.RecordBatch | None]:
+    """The different bodies of a slice, and the ranges that are settled inside it. copied: rows whose text a later row has."""
+    values, first, a, b, raw = units(kind, data, offsets)
+    r, _ = runs(kind, values, first, hot)
+    if not len(r.first):
+        return None, None
+    ids, hashes = rows.column("key_id").to_numpy(), rows.column("key_text").to_numpy()
+    number: dict[bytes, int] = {}
+    group = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip(a[r.first].tolist(), b[r.last + kind.length - 1].tolist(), strict=True)])
+    lead = np.full(len(number), len(group))
+    np.minimum.at(lead, group, np.arange(len(group)))
+    twice = np.bincount(group, 1 + copied[r.row]) > 1
+    owner = ids[r.row]
+    if kind.by_order:
+        # Settled here: what equals a body of a smaller document.
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, owner)
+        settled = owner > least[group]
+    else:
+        settled = twice[group]
+    place, size = r.first - first[r.row], r.last - r.first + kind.length
+    done = ranges(owner[settled], hashes[r.row[settled]], place[settled], (place + size)[settled]) if settled.any() else None
+    left = np.flatnonzero(~settled)
+    where = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
+    return Bodies(b"".join(number), where, r.key[lead], (r.anchor - r.first)[lead], twice, group[left], owner[left], hashes[r.row[left]], place[left]), done
+
+
+def whole(kind: Kind, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """The whole rows as ranges, if they hold a window."""
+    n = np.diff(words(data, offsets)[2] if kind.by_words else offsets)
+    some = n >= kind.length
+    return ranges(rows.column("key_id").to_numpy()[some], rows.column("key_text").to_numpy()[some], np.zeros(int(some.sum()), dtype=np.int64), n[some])
+
+
+def dealt(b: Bodies, of: np.ndarray) -> Iterator[tuple[int, Bodies]]:
+    """The bodies by the number in `of`."""
+    order, mine = np.argsort(of, kind="stable"), of[b.body]
+    owners = np.argsort(mine, kind="stable")
+    buckets, starts = np.unique(of[order], return_index=True)
+    at = np.searchsorted(mine[owners], buckets)
+    to = np.searchsorted(mine[owners], buckets, side="right")
+    for k, bucket in enumerate(buckets.tolist()):
+        yield bucket, b.some(order[starts[k] : starts[k + 1] if k + 1 < len(starts) else None], owners[at[k] : to[k]])
+
+
+def press(found: Iterable[tuple[int, Bodies]]) -> pa.RecordBatch:
+    squeeze = zstandard.ZstdCompressor(level=3)
+    rows = [(k, squeeze.compress(b.pack())) for k, b in found]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
+
+
+def coarse(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+    """(bucket, payload, key_id, key_text, start, end): bodies by coarse bucket, and settled ranges (without bucket)."""
+    hot, known = (docs.sparkSession.sparkContext.broadcast(f(docs, kind)) for f in (hot_anchors, copies))
+    schema = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), *((c, pa.int64()) for c in ("key_id", "key_text", "start", "end"))])
+    deal = np.uint64(min(buckets, COARSE))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
+        copy = is_copy(batch, known.value)
+        for rows, data, offsets in slices([batch.filter(pa.array(copy > (1 if kind.by_order else 0)))], "text", SLICE):
+            yield whole(kind, rows, data, offsets)
+        own = copy < 2
+        at = 0
+        for rows, data, offsets in slices([batch.filter(pa.array(own))], "text", SLICE):
+            b, done = bodies(kind, rows, data, offsets, hot.value, copy[own][at : at + rows.num_rows])
+            at += rows.num_rows
+            yield press(dealt(b, (b.key % np.uint64(buckets) % deal).astype(np.int64))) if b else None
+            yield done
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                if part is not None and part.num_rows:
+                    yield pa.RecordBatch.from_arrays([part.column(f.name) if f.name in part.schema.names else pa.nulls(part.num_rows, f.type) for f in schema], schema=schema)
 
-def thick(d: np.ndarray) -> np.ndarray:
-    return np.cumsum(d, dtype=np.int64)
+    return docs.mapInArrow(run, "bucket long, payload binary, key_id long, key_text long, start long, end long")
 
 
-def packed(docs: DataFrame, kind: Kind, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, payload): bodies by bucket, and ranges that are settled already."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)
+Solve = Callable[[Bodies], tuple[np.ndarray, np.ndarray]]
+"""From bodies how many windows each has, and for all windows, one body after another, whether they are repeated (by_order: the smallest id that has it)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for rows, data, offsets in slices(batches, "text", SLICE):
-            values, first, a, b = units(kind, data, offsets)
-            r, rolling, _ = runs(kind, values, first, held.value)
-            if not len(r.first):
-                continue
-            ids, texts = rows.column("key_id").to_numpy(), rows.column("key_text").to_numpy()
-            size = r.last - r.first + kind.length
-            body = mix(r.key ^ mix(rolling(r.first, r.first + size) + size.astype(np.uint64)))
-            order = np.lexsort((ids[r.row], body)) if kind.by_order else np.argsort(body, kind="stable")
-            body = body[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = body[1:] != body[:-1]
-            group = np.cumsum(new) - 1
-            lead = order[np.flatnonzero(new)]
-            count = np.bincount(group)
-            # Settled here: occurrences after one in a smaller document, or all occurrences of a body that is here twice.
-            settled = ids[r.row[order]] > ids[r.row[lead]][group] if kind.by_order else (count > 1)[group]
-            place = r.first - first[r.row]
-            s = order[settled]
-            owner, begin, end = merged(r.row[s], place[s], place[s] + size[s])
-            done = tuple(map(thin, (ids[owner], texts[owner], begin, end)))
-            o, og = order[~settled], group[~settled]
-            bucket = (r.key[lead] % np.uint64(buckets)).astype(np.int64)
-            short = ((r.key[lead] // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            by = np.lexsort((r.first[lead], bucket))
-            where = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rank = np.empty(len(lead), dtype=np.int64)
-            rank[by] = np.arange(len(lead))
-            owner_by = np.argsort(rank[og], kind="stable")
-            owner_where = np.searchsorted(bucket[og][owner_by], np.arange(buckets + 1))
-            spare = int(ids[0] % buckets)
-            raw, out_b, out_p = memoryview(data), [], []
-            for k in range(buckets):
-                some = by[where[k] : where[k + 1]]
-                mine = lead[some]
-                if not len(mine) and not (k == spare and len(done[0])):
-                    continue
-                from_, to = (r.first[mine], r.first[mine] + size[mine]) if a is None else (a[r.first[mine]], b[r.last[mine] + kind.length - 1])
-                mo = owner_by[owner_where[k] : owner_where[k + 1]]
-                which = o[mo]
-                docs_here, doc = np.unique(r.row[which], return_inverse=True)
-                payload = (
-                    b"".join([raw[x:y] for x, y in zip(from_.tolist(), to.tolist(), strict=True)]), thin(to - from_), short[some], np.packbits(count[some] > 1),
-                    thin(rank[og[mo]] - where[k]), thin(ids[docs_here]), texts[docs_here].astype(np.int32), thin(doc), thin(place[which]), done if k == spare else None,
-                )
-                out_b.append(k)
-                out_p.append(press.compress(pickle.dumps(payload, protocol=5)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_p, pa.binary())], names=["bucket", "payload"])
-
-    return docs.mapInArrow(run, "bucket int, payload binary")
-
-
-Solve = Callable[[list[list[bytes]], list[np.ndarray]], list[list[np.ndarray]]]
-"""Groups of different bodies and, by body, how often it occurs (by_order: the smallest id that has it), to what each
-of its windows has: whether it is repeated (by_order: the smallest id that has it)."""
-
-
-def settle(kind: Kind, solve: Solve, payloads: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, text, start, end) of all ranges that go, from all payloads of one bucket."""
-    unpress = zstandard.ZstdDecompressor()
-    got = [pickle.loads(unpress.decompress(p)) for p in payloads]  # noqa: S301
-    out = [[thick(x) for x in g[9]] for g in got if g[9] is not None]
-    sizes_of = [thick(g[1]) for g in got]
-    sizes, keys = np.concatenate(sizes_of), np.concatenate([g[2] for g in got])
-    twice = np.concatenate([np.unpackbits(g[3], count=len(g[2])) for g in got])
-    base = np.concatenate(([0], np.cumsum([len(g[2]) for g in got])))
-    doc = [thick(g[7]) for g in got]
-    owner = [np.concatenate(x) for x in ([thick(g[4]) + base[k] for k, g in enumerate(got)], [thick(g[5])[d] for g, d in zip(got, doc, strict=True)], [g[6].astype(np.int64)[d] for g, d in zip(got, doc, strict=True)], [thick(g[8]) for g in got])]
-    least = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(least, owner[0], owner[1])
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    starts = np.append(np.flatnonzero(new), len(order))
-    many = np.flatnonzero(np.diff(starts) > 1)
-    block = np.searchsorted(base, np.arange(len(keys)), side="right") - 1
-    offset = np.concatenate([np.cumsum(x) - x for x in sizes_of])
-    groups, weights, members = [], [], []
-    for k in many.tolist():
-        different: dict[bytes, list[int]] = {}
-        for m in order[starts[k] : starts[k + 1]].tolist():
-            text = got[block[m]][0][offset[m] : offset[m] + sizes[m]]
-            different.setdefault(b" ".join(text.split()) if kind.by_words else text, []).append(m)
-        groups.append(list(different))
-        weights.append(np.array([min(least[m].tolist()) for m in different.values()] if kind.by_order else [int(len(m) + twice[m].sum()) for m in different.values()], dtype=np.int64))
-        members.append(list(different.values()))
-    del got
-    by_body: dict[int, np.ndarray] = {}
-    for windows, bodies in zip(solve(groups, weights), members, strict=True):
-        for w, ms in zip(windows, bodies, strict=True):
-            for m in ms:
-                by_body[m] = w
-    at, begin, end = [], [], []
-    for i, (m, doc, place) in enumerate(zip(owner[0].tolist(), owner[1].tolist(), owner[3].tolist(), strict=True)):
-        w = by_body.get(m)
-        if w is None:
-            continue
-        gone = np.flatnonzero(w < doc if kind.by_order else w)
-        if len(gone):
-            cuts = np.flatnonzero(np.diff(gone) > kind.length)
-            for x, y in zip(gone[np.concatenate(([0], cuts + 1))].tolist(), gone[np.append(cuts, len(gone) - 1)].tolist(), strict=True):
-                at.append(i)
-                begin.append(place + x)
-                end.append(place + y + kind.length)
-    at = np.array(at, dtype=np.int64)
-    out.append([owner[1][at], owner[2][at], np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)])
-    return tuple(np.concatenate([x[c] for x in out]) for c in range(4))
+
+def settle(kind: Kind, solve: Solve, b: Bodies) -> pa.RecordBatch:
+    """The ranges that go, from all bodies of one bucket."""
+    n, value = solve(b)
+    first = np.cumsum(n) - n
+    at = spread(first[b.body], n[b.body])
+    owner = np.repeat(np.arange(len(b.body)), n[b.body])
+    start = np.arange(len(at)) - np.repeat(np.cumsum(n[b.body]) - n[b.body], n[b.body]) + b.place[owner]
+    gone = np.flatnonzero(value[at] < b.id[owner] if kind.by_order else value[at])
+    return ranges(b.id[owner[gone]], b.hash[owner[gone]], start[gone], start[gone] + kind.length)
+
+
+def alone(b: Bodies) -> np.ndarray:
+    """Which bodies have a key that no other has."""
+    _, of, n = np.unique(b.key, return_inverse=True, return_counts=True)
+    return n[of] == 1
 
 
 def spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """(key_id, key_text, gone): by document the ranges of units that go, from docs with text, key_id and key_text."""
-    hot = hot_anchors(docs, kind)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, round(size * kind.growth / BUCKET_BYTES))
 
-    def run(table: pa.Table) -> pa.Table:
-        got = settle(kind, solve, (p.as_py() for p in table.column("payload")))
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("key_id", "key_text", "start", "end"), got, strict=True)})
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, held, size = zstandard.ZstdDecompressor(), [], 0
+
+        def out():
+            b = Bodies.joined(held)
+            return press(dealt(b, (b.key % np.uint64(buckets)).astype(np.int64)))
 
-    found = packed(docs, kind, hot, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "key_id long, key_text long, start long, end long")
+        for batch in batches:
+            for p in batch.column("payload"):
+                raw = p.as_py()
+                held.append(Bodies.unpack(expand.decompress(raw)))
+                size += len(raw)
+                if size > CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        parts = [Bodies.unpack(expand.decompress(p.as_py())) for p in table.column("payload").drop_null()]
+        out = [settle(kind, solve, Bodies.joined(parts))] if parts else []
+        done = table.filter(pc.is_null(table.column("payload"))).select(["key_id", "key_text", "start", "end"])
+        return pa.concat_tables([done, *(pa.Table.from_batches([x]) for x in out)])
+
+    found = coarse(docs, kind, buckets)
+    if buckets > COARSE:
+        found = cut(found)
+        bodies_ = found.filter("bucket is not null").select("bucket", "payload").repartition(COARSE, "bucket").mapInArrow(finer, "bucket long, payload binary")
+        found = bodies_.unionByName(found.filter("bucket is null"), allowMissingColumns=True)
+    # Settled ranges are spread over the buckets.
+    found = found.withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("key_id", "start"), F.lit(buckets))))
+    found = found.repartition(min(buckets, 200_000), "bucket").groupBy("bucket").applyInArrow(run, "key_id long, key_text long, start long, end long")
     return cut(found.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("start", "end")).alias("gone")))
 
 
 def with_spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """All rows and columns of docs, with key_id, key_text and gone (null: nothing goes)."""
     keyed = docs.select("*", *doc_key())
-    found = spans(keyed.select("text", "key_id", "key_text"), kind, solve)
-    release(docs.sparkSession)
-    return keyed.join(found, ["key_id", "key_text"], "left")
+    return keyed.join(spans(keyed.select("text", "key_id", "key_text"), kind, solve), ["key_id", "key_text"], "left")
 
 
 def gone_mask(gone: pa.Array, k: int, n: int) -> np.ndarray | None:
     """Flags of the units that go in row k, or None."""
-    ranges = gone[k].as_py()
-    if not ranges:
+    ranges_ = gone[k].as_py()
+    if not ranges_:
         return None
     edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, [r["start"] for r in ranges], 1)
-    np.add.at(edge, [r["end"] for r in ranges], -1)
+    np.add.at(edge, [r["start"] for r in ranges_], 1)
+    np.add.at(edge, [r["end"] for r in ranges_], -1)
     return np.cumsum(edge[:-1]) > 0

@@ -1,9 +1,12 @@
-"""Substring dedup: word windows that also start in an earlier document go, found in groups of suffixes.
+"""Substring dedup: word windows that also start in an earlier document go, found in prefix-partitioned suffix trees.
 
-Suffixes of the word sequences are dealt out by a sampled gram of their first words; grams that are frequent in the
-corpus are lengthened up to the whole window, so every group fits into one task's memory. In a group the
-windows are named by prefix doubling, down to the window length (no suffix tree is built); suffixes of one name share
-the window, and its smallest document decides.
+The suffixes that enter trees are those at sampled words (about one of six): each window has one, its anchor, at a place
+that depends on its words only. They are dealt out by a prefix of three words; prefixes that are frequent in the corpus
+are lengthened to the whole window, so every group fits into one task's memory. The suffixes of a group in their order,
+with the number of words that neighbours share, are its suffix tree: an inner node is a stretch of suffixes between
+which no fewer words are shared. A window that starts k words before the anchor repeats (as a part of some maximal
+repeat) where suffixes meet in a node of 13 - k words or deeper and have the k words before in common; its smallest
+document decides.
 
 Defined results: columns named like the new ones are replaced; null texts have no words; a null doc_id counts as larger than all others; rows with one doc_id are
 no earlier documents for each other; texts shorter than a window stay whole; other columns stay.
@@ -20,56 +23,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.frames import shield, unshield
-from tessera.llm.repeats import Kind, gone_mask, with_spans
+from tessera.llm.repeats import Bodies, Kind, alone, gone_mask, with_spans
 
 WINDOW = 13
 KIND = Kind(by_words=True, length=WINDOW, gram=3, split=1, by_order=True, growth=3.6)
 
 
-def tree_nodes(ids: np.ndarray, depth: int) -> np.ndarray:
-    """The node at `depth` words below the root for each suffix of a sequence: equal nodes share their first `depth` words (beyond the end stands -1)."""
-    node, have = ids.copy(), 1
-    while have < depth:
-        step = min(have, depth - have)
-        ahead = np.full(len(node), -1, dtype=np.int64)
-        ahead[: len(node) - step] = node[step:]
-        node = np.unique(node * (len(node) + 2) + ahead + 1, return_inverse=True)[1]
-        have += step
+def numbered(b: Bodies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the bodies as numbers (equal words, equal numbers), the first word of each body, and how many it has."""
+    data = np.frombuffer(b.text, dtype=np.uint8)
+    ends = np.flatnonzero(data == 32) + 1
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    number = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(b.text)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    edges = np.searchsorted(ends, np.cumsum(b.size)) + 1
+    first = np.concatenate(([0], edges[:-1]))
+    return number, first, edges - first
+
+
+def depths(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (rows of `words`, beyond their end -1) in the tree of their key, and how many words each shares with the one before: the depth of the inner node that parts them (-1: another tree)."""
+    order = np.lexsort((*words.T[::-1], key))
+    same = words[order][1:] == words[order][:-1]
+    shared = np.cumprod(same & (words[order][1:] >= 0), axis=1).sum(axis=1)
+    shared[key[order][1:] != key[order][:-1]] = -1
+    return order, np.concatenate(([-1], shared))
+
+
+def nodes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """By suffix the node of the tree in which it is `depth` words deep: suffixes with no inner node of less depth between them."""
+    node = np.empty(len(order), dtype=np.int64)
+    node[order] = np.cumsum(shared < depth)
     return node
 
 
-def solve(groups: list[list[bytes]], weights: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """By body the smallest id that has each of its windows."""
-    out: list[list[np.ndarray]] = []
-    at = 0
-    while at < len(groups):
-        to, size = at, 0
-        while to < len(groups) and (to == at or size < 1 << 20):
-            size += sum(map(len, groups[to]))
-            to += 1
-        out += _solved(groups[at:to], weights[at:to])
-        at = to
-    return out
-
-
-def _solved(groups: list[list[bytes]], weights: list[np.ndarray]) -> list[list[np.ndarray]]:
-    number: dict[bytes, int] = {}
-    ids: list[int] = []
-    starts, counts, least = [], [], []
-    for bodies, w in zip(groups, weights, strict=True):
-        for body, smallest in zip(bodies, w.tolist(), strict=True):
-            some = [number.setdefault(x, len(number)) for x in body.split()]
-            starts.append(len(ids))
-            counts.append(len(some) - WINDOW + 1)
-            least.append(smallest)
-            ids += some
-    n = np.array(counts)
-    at = np.repeat(np.array(starts) - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    node = tree_nodes(np.array(ids, dtype=np.int64), WINDOW)[at]
-    first = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, node, np.repeat(np.array(least, dtype=np.int64), n))
-    parts = iter(np.split(first[node], np.cumsum(n)[:-1]))
-    return [[next(parts) for _ in bodies] for bodies in groups]
+def solve(b: Bodies) -> tuple[np.ndarray, np.ndarray]:
+    """By body the number of windows and, for each, the smallest id that has it."""
+    number, first, n = numbered(b)
+    count = n - WINDOW + 1
+    base = np.cumsum(count) - count
+    least = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(least, b.body, b.id)
+    out = np.repeat(least, count)
+    some = np.flatnonzero(~alone(b))
+    if not len(some):
+        return count, out
+    first, n, anchor, least, base = first[some], n[some], b.anchor[some], least[some], base[some]
+    key = np.unique(b.key[some], return_inverse=True)[1]
+    ahead, behind = anchor[:, None] + np.arange(WINDOW), anchor[:, None] - 1 - np.arange(WINDOW - 1)
+    right = np.where(ahead < n[:, None], number[np.minimum(first[:, None] + ahead, len(number) - 1)], -1)
+    left = np.where(behind >= 0, number[np.maximum(first[:, None] + behind, 0)], -1)
+    order, shared = depths(key, right)
+    # A window that starts k words before the anchor repeats if node and k words on the left are the same.
+    past = key
+    for k in range(WINDOW - KIND.gram + 1):
+        if k:
+            past = np.unique(past * (number.max() + 2) + left[:, k - 1] + 1, return_inverse=True)[1]
+        has = np.flatnonzero((anchor >= k) & (anchor - k + WINDOW <= n))
+        if not len(has):
+            continue
+        node = nodes(order, shared, WINDOW - k)[has]
+        class_ = np.unique(node * len(key) + past[has], return_inverse=True)[1]
+        smallest = np.full(class_.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, class_, least[has])
+        out[base[has] + anchor[has] - k] = smallest[class_]
+    return count, out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.frames import shield, unshield
-from tessera.llm.repeats import Kind, gone_mask, with_spans
-from tessera.llm.text import Rolling, spread
+from tessera.llm.repeats import Bodies, Kind, alone, gone_mask, with_spans
+from tessera.llm.text import spread
 
 LENGTH = 400
 KIND = Kind(by_words=False, length=LENGTH, gram=32, split=64, by_order=False, growth=3.7)
@@ -84,50 +84,34 @@ def parted(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, edge[:n]
 
 
-def solve(groups: list[list[bytes]], weights: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """By body whether each of its windows occurs twice; weights: how often each body occurs."""
-    out: list = [None] * len(groups)
-    some: list[int] = []
-    size = 0
-    for k, (bodies, w) in enumerate(zip(groups, weights, strict=True)):
-        if w.min() > 1:
-            out[k] = [np.ones(len(b) - LENGTH + 1, dtype=bool) for b in bodies]
-            continue
-        some.append(k)
-        size += sum(map(len, bodies))
-        if size >= TEXT:
-            _solved(groups, weights, some, out)
-            some, size = [], 0
-    if some:
-        _solved(groups, weights, some, out)
-    return out
-
-
-def _solved(groups: list[list[bytes]], weights: list[np.ndarray], some: list[int], out: list) -> None:
-    """Solve the groups numbered in `some` into out; bodies in which not even a hash of a window recurs stay out of the transform."""
-    bodies = [b for k in some for b in groups[k]]
-    weight = np.concatenate([weights[k] for k in some])
-    sizes = np.array([len(b) for b in bodies])
-    joined = np.frombuffer(b"".join(bodies), dtype=np.uint8)
-    n = sizes - LENGTH + 1
-    at = spread(np.cumsum(sizes) - sizes, n)
-    body = np.repeat(np.arange(len(bodies)), n)
-    same = np.unique(Rolling(joined)(at, at + LENGTH), return_inverse=True)[1]
-    recurs = np.bincount(same, weight[body])[same] > 1
-    inside = np.unique(body[recurs])
-    flags = np.zeros(len(at), dtype=bool)
-    if len(inside):
-        raw = np.concatenate([np.frombuffer(bodies[k] + b"\0", dtype=np.uint8) for k in inside.tolist()])
+def solve(b: Bodies) -> tuple[np.ndarray, np.ndarray]:
+    """By body the number of windows and, for each, whether it occurs twice."""
+    count = b.size - LENGTH + 1
+    out = np.repeat(b.twice, count)
+    base, start = np.cumsum(count) - count, np.cumsum(b.size) - b.size
+    order = np.argsort(b.key, kind="stable")
+    order = order[~alone(b)[order]]
+    ends = np.flatnonzero(np.diff(b.key[order]) != 0) + 1
+    # Groups of one key, as many as fill a text, are transformed at once.
+    full = np.cumsum(b.size[order])
+    at = 0
+    while at < len(order):
+        to = min(int(np.searchsorted(full, (full[at - 1] if at else 0) + TEXT)), len(order) - 1)
+        k = np.searchsorted(ends, to, side="right")
+        to = int(ends[k]) if k < len(ends) else len(order)
+        some = order[at:to]
+        at = to
+        raw = np.frombuffer(b"".join([b.text[x:y] + b"\0" for x, y in zip(start[some].tolist(), (start + b.size)[some].tolist(), strict=True)]), dtype=np.uint8)
         text = raw.astype(np.int64) + 1
-        text[np.cumsum(sizes[inside] + 1) - 1] = 0
-        order, edge = parted(text, LENGTH)
+        close = np.cumsum(b.size[some] + 1) - 1
+        text[close] = 0
+        suffixes, edge = parted(text, LENGTH)
         group = np.empty(len(text), dtype=np.int64)
-        group[order] = np.cumsum(edge) - 1
-        group = group[spread(np.cumsum(sizes[inside] + 1) - sizes[inside] - 1, n[inside])]
-        flags[np.isin(body, inside)] = np.bincount(group, np.repeat(weight[inside], n[inside]))[group] > 1
-    parts = iter(np.split(flags, np.cumsum(n)[:-1]))
-    for k in some:
-        out[k] = [next(parts) for _ in groups[k]]
+        group[suffixes] = np.cumsum(edge) - 1
+        group = group[spread(close - b.size[some], count[some])]
+        weight = np.repeat(1 + b.twice[some], count[some])
+        out[spread(base[some], count[some])] = np.bincount(group, weight)[group] > 1
+    return count, out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

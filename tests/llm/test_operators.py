@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests.conftest import SF, rows
 
-from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, substring_dedup, suffix_array_dedup, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, repeats, substring_dedup, suffix_array_dedup, toxicity, url_filter
 from tessera.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,17 +89,60 @@ def test_suffix_array_dedup(docs, none):
     assert suffix_array_dedup.digest(none).count() == 0
 
 
+def bodies(raw: list[bytes], ids: list[int], anchor: int) -> repeats.Bodies:
+    n = np.arange(len(raw))
+    return repeats.Bodies(b"".join(raw), np.array([len(x) for x in raw]), np.ones(len(raw), dtype=np.uint64), np.full(len(raw), anchor), np.zeros(len(raw), dtype=bool), n, np.array(ids), n, n * 0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(5, 30), st.lists(st.text("ab", min_size=30, max_size=120), min_size=2, max_size=6, unique=True))
-def test_burrows_wheeler_search(length, bodies):
-    raw = [b.encode() for b in bodies]
+def test_burrows_wheeler_search(length, texts):
+    raw = [b.encode() for b in texts]
     old, suffix_array_dedup.LENGTH = suffix_array_dedup.LENGTH, length
     try:
-        got = suffix_array_dedup.solve([raw], [np.ones(len(raw), dtype=np.int64)])[0]
+        n, got = suffix_array_dedup.solve(bodies(raw, list(range(len(raw))), 0))
     finally:
         suffix_array_dedup.LENGTH = old
     seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
-    assert [g.tolist() for g in got] == [[seen[b[k : k + length]] > 1 for k in range(len(b) - length + 1)] for b in raw]
+    assert got.tolist() == [seen[b[k : k + length]] > 1 for b in raw for k in range(len(b) - length + 1)] and n.tolist() == [len(b) - length + 1 for b in raw]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a ", "b ", "é "]), min_size=13, max_size=17), min_size=2, max_size=30), st.integers(0, 10))
+def test_suffix_trees(texts, anchor):
+    """Windows that hold the anchor at one place and are equal get the smallest of their ids."""
+    r = random.Random(anchor)
+    texts = [t for t in texts if len(t) - 13 <= anchor]
+    if not texts:
+        return
+    b = bodies(["".join(t).encode() for t in texts], [r.randint(0, 9) for _ in texts], anchor)
+    n, got = substring_dedup.solve(b)
+    least: dict = {}
+    windows = [(anchor - k, tuple(t[k : k + 13]), i) for t, i in zip(texts, b.id.tolist(), strict=True) for k in range(len(t) - 12)]
+    for at, w, i in windows:
+        least[at, w] = min(least.get((at, w), i), i)
+    assert got.tolist() == [least[at, w] for at, w, _ in windows] and n.tolist() == [len(t) - 12 for t in texts]
+
+
+def test_long_texts_are_searched_in_stretches():
+    h = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64) << np.uint64(40)
+    want = [k + int(np.argmin(h[k : k + 20])) for k in range(len(h) - 19)]
+    assert repeats.anchors(h, 20).tolist() == repeats.anchors(h, 20, 6).tolist() == want
+
+
+def test_repeats_with_all_limits_low(spark, monkeypatch):
+    """Hot prefixes, many buckets and the second exchange give what brute force gives."""
+    r = random.Random(8)
+    passages = [" ".join(r.choice(WORDS) for _ in range(r.randint(60, 200))) for _ in range(6)]
+    texts = [(k, "\n ".join(r.choice(passages) if r.random() < 0.6 else text(r.randint(1, 90)) for _ in range(r.randint(0, 9)))) for k in range(60)]
+    texts += [(100 + k, texts[k][1]) for k in range(10)] + [(3, texts[3][1]), (None, texts[5][1])]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    for name, value in {"HOT": 3, "BUCKET_BYTES": 5_000, "COARSE": 3, "SLICE": 20_000, "CHUNK": 2_000}.items():
+        monkeypatch.setattr(repeats, name, value)
+    for most in (0, 1000):
+        monkeypatch.setattr(repeats, "COPIES_MOST", most)
+        assert Counter(tuple(x) for x in substring_dedup.digest(d).collect()) == brute_words(texts)
+        assert Counter(tuple(x) for x in suffix_array_dedup.digest(d).collect()) == brute_bytes(texts)
 
 
 def test_near_duplicates(docs, none):
