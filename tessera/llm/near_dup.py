@@ -8,15 +8,17 @@ each text, so many that similar texts must share one of them (a prefix filter),
 the band form a longest common subsequence of n shingles, and the pair is linked if n / (n1 + n2 - n) is SIMILARITY
 or more.
 
-Equal texts are folded into one before anything else. Similar documents are not expanded into pairs: in each candidate
-group all are compared with a pivot, the one with most neighbours over all groups, and documents that are known to be
-connected are neither compared nor become pivots. Only documents that are linked with no pivot become pivots in turn,
-a growing number in each round, until each is connected to its group or has been compared with all of it. So links are
-left out only inside what is connected anyway. Classes are the connected components of the links.
+Equal texts are folded into one before anything else. A candidate group is not expanded into pairs. All its texts are
+compared with one pivot. Two texts of the group that are both linked with the pivot are in one class; any other pair is
+found by what parts it from the pivot: with shingles that the pivot lacks put first, similar texts must share one of
+their first shingles (the prefix filter again, at places that their lengths allow), and shingles that the pivot lacks are
+rare in a group however large it is. Texts that share such a shingle are compared with one of them, and those that are
+not connected after that with each other. So no link is left out but between texts that are connected anyway. Classes
+are the connected components of the links.
 
 Defined results: documents without words are alone; a text of fewer than five words is one shingle; a class is named
-by its smallest doc_id (null: after all others); repeated rows and equal texts are in one class; other columns are
-ignored; an empty table gives no rows.
+by its smallest doc_id (null: after all others); repeated rows and equal texts are in one class; exactly one row of
+each class is kept, one with the smallest doc_id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ KEEP = 6
 #: Pairs whose shorter text has so many shingles at the most are found without chance. Both then have no more than LISTED.
 SHORT = 30
 LISTED = int(SHORT / SIMILARITY)
+#: Nodes that one copy of their pivot's text serves.
+SHARE = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +145,43 @@ def keys(docs: DataFrame) -> DataFrame:
     return docs.select(number().alias("id"), digest().alias("node"), "text").mapInArrow(run, "id long, node string, n long, sketch array<long>, listed array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts are similar."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+def comparable(n: str, m: str):
+    """Whether two lengths allow SIMILARITY."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def first_shingles(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Those of x, shingles that the pivot lacks before the others, of which a similar text must have one."""
+    has = np.isin(x, pivot)
+    return np.concatenate((np.sort(x[~has]), np.sort(x[has])))[: int(len(x) * (1 - SIMILARITY) + 1e-9) + 1]
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, pivot, linked, n, first) of pairs (node, pivot, wide): n is the node's length; first (empty unless wide) its first shingles.
+
+    A pivot of many nodes has its text sent once for each SHARE of them.
+    """
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
+    of_pivot = texts.withColumnRenamed("node", "pivot").join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("text").alias("y"))
+    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    both = dealt.join(texts.withColumnRenamed("text", "x"), "node").join(of_pivot, ["pivot", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
-                (x, xs), (y, ys) = (shingles(d, o) for c in ("x", "y") for _, d, o in slices([rows], c, 1 << 60))
-                yield rows.select(["a", "b"]).filter(pa.array([similar(x[xs[k] : xs[k + 1]], y[ys[k] : ys[k + 1]]) for k in range(rows.num_rows)]))
+                once = rows.column("pivot").dictionary_encode()
+                of, row = once.indices.to_numpy(), np.unique(once.indices.to_numpy(), return_index=True)[1]
+                (x, xs), (y, ys) = (shingles(d, o) for c, some in (("x", rows), ("y", rows.take(pa.array(row)))) for _, d, o in slices([some], c, 1 << 60))
+                both = [(x[xs[k] : xs[k + 1]], y[ys[of[k]] : ys[of[k] + 1]]) for k in range(rows.num_rows)]
+                linked = pa.array([similar(a, b) for a, b in both])
+                first = [first_shingles(a, b) if w else a[:0] for (a, b), w in zip(both, rows.column("wide").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("node"), rows.column("pivot"), linked, pa.array(np.diff(xs), pa.int64()), lists(np.concatenate(first).view(np.int64), np.array([len(f) for f in first]))],
+                    names=["node", "pivot", "linked", "n", "first"],
+                )
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    return both.select("node", "pivot", "wide", "x", "y").mapInArrow(run, "node string, pivot string, linked boolean, n long, first array<long>")
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
@@ -171,44 +200,67 @@ def groups(reps: DataFrame) -> DataFrame:
     return cut(members.join(sizes, "key"))
 
 
+def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Every text takes the best label among its neighbours' and its own, twice; so equal labels mean connected."""
+    ends = found.unionByName(found.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")))
+    for _ in range(2):
+        best = ends.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot").groupBy("node").agg(F.max("label").alias("best"))
+        labels = cut(labels.join(best, "node", "left").select("node", "rank", F.greatest("label", F.coalesce("best", "label")).alias("label")))
+    return labels
+
+
+def differences(first: DataFrame) -> DataFrame:
+    """(key, node, n, most, open): texts that share one of their first shingles besides a pivot, one of them not linked with it (open). Their partners have `most` shingles at the most."""
+    wide = first.filter(F.size("first") > 0)
+    rows = wide.join(wide.filter("not linked").select("pivot").distinct(), "pivot", "left_semi")
+    rows = rows.select("node", "pivot", "n", (~F.col("linked")).alias("open"), F.posexplode("first").alias("place", "shingle"))
+    rows = rows.select(F.xxhash64("pivot", "shingle").alias("key"), "node", "n", "open", F.floor(F.expr(f"(n - place) * {(1 + SIMILARITY) / SIMILARITY} - n + 1e-6")).alias("most"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("times"), F.max(F.when(F.col("open"), F.col("most"))).alias("most_open"), F.min(F.when(F.col("open"), F.col("n"))).alias("least_open"))
+    # Only texts whose lengths fit an open one stay; nearly all shingles of the pivot itself go here.
+    return rows.join(shared.filter("times > 1 and most_open is not null"), "key").filter("n <= most_open and least_open <= most").select("key", "node", "n", "most", "open")
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of linked texts, a star around each pivot; reps holds (node, rep, n, sketch, listed) of each text with words."""
+    """(node, pivot) of linked texts; reps holds (node, rep, n, sketch, listed) of each text with words."""
     members = groups(reps)
     facts = cut(members.groupBy("node").agg(F.sum("size").alias("score")).join(reps.select("node", "rep", "n"), "node"))
     texts = docs.select(number().alias("rep"), digest().alias("node"), "text").join(facts.select("rep", "node"), ["rep", "node"]).dropDuplicates(["node"])
     texts = cut(texts.select("node", "text"))
-    facts = facts.select("node", "n", F.struct("score", "node").alias("rank"))
-    # Every text's label is the best ranked text that it is linked with, at first itself; equal labels mean connected.
-    labels = facts.select("node", "n", "rank", F.col("rank").alias("label"))
-    members = cut(members.select("key", "node").join(labels.select("node", "rank"), "node"))
-    pending, found, pivots = members, None, 1
-    while True:
-        if pivots == 1:
-            chosen = pending.groupBy("key").agg(F.max("rank").alias("pivot"))
-        else:
-            salted = pending.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("rank"), asc=False), 1, pivots).alias("some"))
-            chosen = salted.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some")), asc=False), 1, pivots).alias("some")).select("key", F.explode("some").alias("pivot"))
-        chosen = chosen.select("key", F.col("pivot.node").alias("pivot"))
-        pairs = members.select("key", "node").join(chosen, "key").filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        for end in "ab":
-            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"label_{end}")), end)
-        pairs = pairs.filter((F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))).select("a", "b")
-        new = cut(verified(pairs, texts))
-        found = new if found is None else found.unionByName(new)
-        ends = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = ends.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.max("label").alias("best"))
-        labels = cut(labels.join(best, "node", "left").select("node", "n", "rank", F.greatest("label", F.coalesce("best", "label")).alias("label")))
-        # Done with a group are its pivots and all that have the label of one of them.
-        settled = chosen.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot").select("key", "label").distinct()
-        pending = pending.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").join(labels.select("node", "label"), "node")
-        pending = cut(pending.join(settled, ["key", "label"], "left_anti").select("key", "node", "rank"))
-        if pending.isEmpty():
-            return found
-        pivots *= 4
+    labels = facts.select("node", F.struct("score", "node", "n").alias("rank")).withColumn("label", F.col("rank"))
+
+    # All texts of a group with its pivot. In groups of three and more what parts them from it is kept.
+    members = cut(members.join(labels.select("node", "rank"), "node"))
+    pivots = members.groupBy("key").agg(F.max("rank").alias("pivot"))
+    star = members.join(pivots, "key").filter("node != pivot.node").groupBy("node", "pivot", "rank.n").agg(F.max(F.col("size") > 2).alias("wide"))
+    star = star.filter(F.col("wide") | comparable("n", "pivot.n")).select("node", F.col("pivot.node").alias("pivot"), "wide")
+    first = cut(compared(star, texts))
+    found = first.filter("linked").select("node", "pivot")
+    labels = relabelled(labels, found)
+
+    # Texts that share a difference with one of them, if they are not connected yet.
+    rest = cut(differences(first))
+    if rest.isEmpty():
+        return found
+    known = rest.join(labels, "node")
+    leads = known.groupBy("key").agg(F.max(F.struct("rank", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key", "lead")
+    star = known.join(leads, "key").filter((F.col("label") != F.col("lead.label")) & comparable("n", "lead.rank.n")).select("node", F.col("lead.rank.node").alias("pivot")).distinct()
+    second = cut(compared(star.withColumn("wide", F.lit(False)), texts)).filter("linked").select("node", "pivot")
+    labels = relabelled(labels, second)
+
+    # What is not connected after that with each other.
+    known = rest.join(labels.select("node", "label"), "node").join(leads.select("key", F.col("lead.rank.node").alias("lead")), "key").filter("node != lead").drop("lead")
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("open")).filter("low != high and open").select("key")
+    known = cut(known.join(mixed, "key"))
+    x, y = (known.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "most", "open", "label"))) for end in "xy")
+    pairs = x.filter("open_x").join(y, (x.key == y.key) & F.expr("label_x != label_y and n_y <= most_x and n_x <= most_y and not (open_y and node_y > node_x)")).filter(comparable("n_x", "n_y"))
+    pairs = pairs.select(F.col("node_x").alias("node"), F.col("node_y").alias("pivot")).distinct()
+    third = cut(compared(pairs.withColumn("wide", F.lit(False)), texts)).filter("linked").select("node", "pivot")
+    return found.unionByName(second).unionByName(third)
 
 
 def components(found: DataFrame) -> DataFrame:
     """(node, label) of all linked nodes: labels fall to the smallest of the neighbours and of the label's label until nothing changes."""
+    found = found.toDF("a", "b")
     edges = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
@@ -232,17 +284,25 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.select("id", "node").join(of_text, "node", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """(id, node, times) of the one document of each class that stays, and how many equal rows it stands in."""
+    return rows.filter("id = class_id").groupBy("class_id", "node").agg(F.count("*").alias("times")).groupBy("class_id").agg(F.min(F.struct("node", "times")).alias("one")).select(F.col("class_id").alias("id"), "one.node", "one.times")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and whether the document is the one of its class that stays."""
+    """doc_id, class_id and whether the row is the one of its class that stays."""
     none = F.lit((1 << 63) - 1)
-    return classes(docs.select("doc_id", "text")).select(
-        F.when(F.col("id") != none, F.col("id")).alias("doc_id"), F.when(F.col("class_id") != none, F.col("class_id")).alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept")
-    )
+    rows = cut(classes(docs.select("doc_id", "text")).groupBy("id", "node", "class_id").agg(F.count("*").alias("times")))
+    stays = kept(rows).select("id", "node", F.lit(True).alias("stays"))
+    each = rows.join(stays, ["id", "node"], "left").select("*", F.explode(F.expr("sequence(1, times)")).alias("copy"))
+    return each.select(F.when(F.col("id") != none, F.col("id")).alias("doc_id"), F.when(F.col("class_id") != none, F.col("class_id")).alias("class_id"), (F.col("stays").isNotNull() & (F.col("copy") == 1)).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all columns."""
+    """One row of each class, with all columns; of equal rows that differ in other columns any."""
     original, docs = docs.columns, shield(docs, "doc_id", "text")
-    stay = classes(docs).filter("id = class_id").select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
+    stay = cut(kept(classes(docs))).select(F.col("id").alias("_id"), F.col("node").alias("_node"), "times")
     marked = docs.withColumns({"_id": number(), "_node": digest()})
-    return unshield(marked.join(stay, ["_id", "_node"], "left_semi"), original)
+    single = marked.join(stay.filter("times = 1"), ["_id", "_node"], "left_semi")
+    several = marked.join(stay.filter("times > 1"), ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    return unshield(single.unionByName(several), original)
