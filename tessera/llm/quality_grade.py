@@ -6,7 +6,8 @@ fitted in one task on a sample whose bound is the parameter MOST_ROWS and applie
 fixed-size weights.
 
 Defined results: null and empty texts get the grade of no features; without labelled rows of two grades at least
-nothing is known and every document gets the tail probabilities 1 and is kept; repeated rows get equal grades.
+nothing is known and every document gets the tail probabilities 1 and is kept; repeated rows get equal grades; a
+document with several labels teaches each; columns named like the new ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.hashed import Sample, counts, descend, labelled_sample, lists, strongest, sums
+from tessera.llm.hashed import Sample, counts, descend, held_out, labelled_sample, lists, strongest, sums
 
 MOST_ROWS = 12_000
 ORDERS = (1, 2, 3)
@@ -102,6 +103,9 @@ def grade(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, expected_grade, tail_probability (of SELECT or higher) and kept."""
+    """doc_id, held_out, expected_grade, tail_probability (of SELECT or higher) and kept; held-out rows, a third by the hash of doc_id, teach nothing.
+
+    The label table has no graded ratings: rating() makes them out of quality and toxic.
+    """
     tail = F.coalesce(F.try_element_at("tail", F.lit(SELECT)), F.lit(1.0))
-    return grade(docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= MIN_TAIL).alias("kept"))
+    return grade(docs.select("doc_id", "text"), train(docs, labels, keep=lambda doc_id: ~held_out(doc_id))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", tail.alias("tail_probability"), (tail >= MIN_TAIL).alias("kept"))

@@ -5,7 +5,7 @@ logistic regression on these scaled features gives the score. It is fitted in on
 parameter MOST_ROWS and applied to all rows by a broadcast of the fixed-size weights.
 
 Defined results: null and empty texts get the score of no features, that of the bias alone; without labelled rows of
-both classes every score is 0; repeated rows get equal scores; labels, lang, source and doc_id are no inputs of a score.
+both classes every score is 0; labels other than 0 and 1 are ignored; repeated rows get equal scores; labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.hashed import Sample, counts, descend, labelled_sample, lists, strongest, sums
+from tessera.llm.hashed import Sample, counts, descend, held_out, labelled_sample, lists, strongest, sums
 
 MOST_ROWS = 12_000
 ORDERS = (5, 6, 7)
@@ -44,7 +44,7 @@ def fit(table: pa.Table, size: int) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame, keep=lambda doc_id: F.lit(True)) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets with a weight, their weights and the bias."""
-    sample = labelled_sample(docs, labels, F.col("toxic"), keep, MOST_ROWS)
+    sample = labelled_sample(docs, labels, F.when(F.col("toxic").isin(0, 1), F.col("toxic")), keep, MOST_ROWS)
     rows = {r.target: r.n for r in sample.groupBy("target").agg(F.count("*").alias("n")).collect()}
     if len(rows) < 2:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -40.0
@@ -70,11 +70,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     return docs.mapInArrow(run, schema)
 
 
-def held_out(doc_id):
-    """Rows that no model of this query has learned from; a null id is held out, too."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, lambda doc_id: ~held_out(doc_id))
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
