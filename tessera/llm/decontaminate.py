@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.frames import cut
 from tessera.llm.text import Rolling, slices, spread
 
 THRESHOLD = 0.6
@@ -34,15 +35,19 @@ BLOCK = 16
 
 #: Bytes of words: ASCII letters and digits and everything beyond ASCII.
 _INSIDE = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+#: Capitals of two bytes in UTF-8: the first byte, the range of the second, and what is added to both.
+_CAPITALS = [(0xC3, 0x80, 0x96, 0, 32), (0xC3, 0x98, 0x9E, 0, 32), (0xCE, 0x91, 0x9F, 0, 32), (0xCE, 0xA0, 0xA9, 1, -32), (0xD0, 0x90, 0x9F, 0, 32), (0xD0, 0xA0, 0xAF, 1, -32), (0xD0, 0x80, 0x8F, 1, 16)]
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words without case (ASCII and Latin-1), and the index of each row's first word."""
+    """Hashes of all words without case (ASCII, Latin-1, Greek, Cyrillic), and the index of each row's first word."""
     data = _LOWER[data]
-    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
-    latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
-    data[latin] += 0x20
+    for lead, low, high, more_lead, more in _CAPITALS:
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[(data[at + 1] >= low) & (data[at + 1] <= high)]
+        data[at] += more_lead
+        data[at + 1] = data[at + 1].astype(np.int64) + more
     inside = _INSIDE[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -211,7 +216,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
                     names=schema.names,
                 )
 
-        parts.append(docs.select(key, "text").mapInArrow(run, schema))
+        found = docs.select(key, "text").mapInArrow(run, schema)
+        if blocks > 1:  # one index at a time
+            found = cut(found)
+            held.unpersist()
+        parts.append(found)
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], schema)]
     found = parts[0]

@@ -121,8 +121,10 @@ def build(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, int]:
     mine = hashed(listed, shards)
     level0 = cut(mine.groupBy("shard").applyInArrow(lambda key, table: as_rows(key[0].as_py(), [Bloom.build(pairs(table), 0, rate)]), SCHEMA))
     others = hashed(universe.join(listed, "key", "left_anti"), shards)
-    for block in blocks(level0):
+    parts = blocks(level0)
+    for block in parts:
         others = passing(others, loaded(level0, block), block)
+        others = cut(others) if len(parts) > 1 else others  # one block of filters at a time
 
     def deeper(key, left: pa.Table, right: pa.Table) -> pa.Table:
         inside, outside = pairs(left), pairs(right)
@@ -152,7 +154,8 @@ def passing(keys: DataFrame, level0: dict[int, list[Bloom]], block: list[int]) -
 def member(rows: DataFrame, keys: str, filters: DataFrame, shards: int, out: str = "listed") -> DataFrame:
     """Append for each row the array of flags that says which of its keys (array of strings, all of the universe) are listed."""
     rows = rows.withColumns({"_h1": F.transform(keys, lambda k: F.xxhash64(k)), "_h2": F.transform(keys, lambda k: F.xxhash64(F.lit(7), k)), out: F.transform(keys, lambda k: F.lit(False))})
-    for block in blocks(filters):
+    parts = blocks(filters)
+    for block in parts:
         held = rows.sparkSession.sparkContext.broadcast(loaded(filters, block))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -167,6 +170,9 @@ def member(rows: DataFrame, keys: str, filters: DataFrame, shards: int, out: str
                 yield pa.RecordBatch.from_arrays([new if n == out else batch.column(n) for n in names], names=names)
 
         rows = rows.mapInArrow(run, rows.schema)
+        if len(parts) > 1:  # one block of filters at a time
+            rows = cut(rows)
+            held.unpersist()
     return rows.drop("_h1", "_h2")
 
 
