@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's rows
 as Parquet and reads them again for the next one. All stages but the last return the columns of `documents`.
+
+Defined results: a null text has no words and passes no quality rule, so it goes in the first stage; of repeated rows
+one stays; a null doc_id is kept and encoded like any other; columns besides those of `documents` are passed on; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,8 +19,8 @@ from tessera.llm import bpe, decontaminate, near_dup, quality_rules, substring_d
 from tessera.llm.frames import cut, shared_folder, table
 from tessera.llm.queries import vocabulary
 
-#: Up to so many leaked ids are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Up to so many leaked rows (about 50 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 #: The steps are too different from SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -40,10 +44,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold question and answer of a test item go."""
-    leaked = cut(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Documents that hold question and answer of a test item go; rows are told apart by id and text, so a row without id goes, too, and others of a shared id stay."""
+    marked = docs.withColumn("_row", F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    items = decontaminate.split_answer(table(spark, sf_dir, "benchmark"))
+    leaked = cut(decontaminate.leaks(marked, items, key="_row").filter("leaked").select("_row").distinct())
     few = leaked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(leaked) if few else leaked, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return marked.join(F.broadcast(leaked) if few else leaked, "_row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
