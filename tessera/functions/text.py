@@ -38,3 +38,14 @@ def squared_distance(a: str, b: str) -> Column:
 def cosine(a: str, b: str) -> Column:
     dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (x, y) -> double(x) * double(y)), 0D, (s, d) -> s + d)"
     return F.expr(f"try_divide({dot(a, b)}, sqrt({dot(a, a)}) * sqrt({dot(b, b)}))")
+
+
+#: Characters of Han.
+HAN = r"[㐀-䶿一-鿿豈-﫿]"
+
+
+def han_tokens(text: Column) -> Column:
+    """Runs of Han become overlapping pairs (single ones stay), other words stay as they are."""
+    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+|[^\s\p{{P}}㐀-䶿一-鿿豈-﫿]+"), F.lit(0))
+    pairs = lambda w: F.when(w.rlike(f"^{HAN}{{2,}}$"), F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
+    return F.flatten(F.transform(runs, pairs))

@@ -94,13 +94,3 @@ def turn_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("text") + 2
     s = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"), F.sum(n).over(W.partitionBy("conv_id").orderBy("turn")).alias("e"))
     return s.groupBy("conv_id", F.floor((F.col("e") - F.col("n")) / 4096).alias("pack")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sum("n").cast("long").alias("bytes"))
-
-
-HAN = r"[㐀-䶿一-鿿豈-﫿]"
-
-
-def han_tokens(text):
-    """Runs of Han become overlapping pairs (single ones stay), other words stay as they are."""
-    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+|[^\s\p{{P}}㐀-䶿一-鿿豈-﫿]+"), F.lit(0))
-    pairs = lambda w: F.when(w.rlike(f"^{HAN}{{2,}}$"), F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w))
-    return F.flatten(F.transform(runs, pairs))

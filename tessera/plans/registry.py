@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.operators import graph, memory, relational, retrieval, text_rules, wiki
+from tessera.operators import graph, memory, records, relational, retrieval, text_rules, wiki
 from tessera.streaming import events
 
-_PARTS = (retrieval, relational, memory, graph, text_rules, wiki, events)
+_PARTS = (retrieval, relational, records, memory, graph, text_rules, wiki, events)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_retrieval"

@@ -1,10 +1,10 @@
-"""Where iterative operators write what they go on from."""
+"""Where operators write what they go on from."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(spark: SparkSession) -> None:
@@ -12,3 +12,9 @@ def ensure_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and go on from the files."""
+    ensure_folder(df.sparkSession)
+    return df.checkpoint()

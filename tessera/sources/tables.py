@@ -23,12 +23,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as bi-temporal facts: supplier -supplies-> part, valid from the ship date until the next one of the same pair."""
     from pyspark.sql.window import Window as W
 
-    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_shipdate").alias("valid_at"))
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_shipdate").alias("valid_at"), F.when(F.col("l_linestatus") == "F", "extracted").otherwise("recorded").alias("event_time_source"))
     by_pair = W.partitionBy("src", "dst", "relation").orderBy("valid_at", "edge_id")
     return line.withColumn("invalid_at", F.lead("valid_at").over(by_pair))
 
 
-FACTS_SQL = """line AS (SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at FROM lineitem),
+FACTS_SQL = """line AS (SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at, CASE WHEN l_linestatus = 'F' THEN 'extracted' ELSE 'recorded' END AS event_time_source FROM lineitem),
 facts AS (SELECT *, lead(valid_at) OVER (PARTITION BY src, dst, relation ORDER BY valid_at, edge_id) AS invalid_at FROM line)"""
 
 

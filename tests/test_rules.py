@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import components, local_moving
-from tessera.operators.memory import judge
+from tessera.operators.graph import components, local_moving, propagated, retrieve, split
+from tessera.operators.memory import decided, difference, judge, judged, lcs_rows, overlap, packed
 from tessera.operators.relational import optional, visible_to
-from tessera.operators.retrieval import fused
-from tessera.operators.text_rules import chunks, han_tokens, sentences
+from tessera.functions.text import han_tokens
+from tessera.operators.retrieval import Legs, fused, keyword_stages, nearest
+from tessera.operators.text_rules import chunks, sentences
 from tessera.operators.wiki import citations
 from tessera.sources.checkpoints import ensure_folder
+from tests.conftest import SF
 
 
 def test_chunks_of_paragraphs_and_hard_cuts(spark):
@@ -36,11 +42,105 @@ def test_citations(spark):
     assert [tuple(r) for r in citations(df).orderBy("chunk").collect()] == [(1, 1, "doc/a", 3), (1, 2, "b", 4)]
 
 
-@pytest.mark.parametrize(("old", "new", "verdict"), [("Use tabs.", "use TABS", "same"), ("use tabs", "please use the tabs", "mergeable"), ("use tabs", "never use tabs", "refused"), ("use tabs", "use spaces", "new")])
+@pytest.mark.parametrize(
+    ("old", "new", "verdict"),
+    [("Use tabs.", "use TABS", "same"), ("use tabs", "please use the tabs", "mergeable"), ("use tabs", "never use tabs", "polarity"), ("use tabs", "use spaces", "content"), ("", "x", "empty"), (None, "", "same"),
+     ("用户偏好使用简体中文交流。", "用户使用简体中文进行交流。", "mergeable"), ("用户偏好简体中文", "用户不使用简体中文", "polarity"), ("note it", "nothing", "content")],
+)
 def test_judge(old, new, verdict):
     assert judge(old, new) == verdict
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=25), st.text("abc", max_size=25))
+def test_common_subsequences(x, y):
+    """Lengths and differences as by the full table."""
+    d = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            d[i][j] = d[i + 1][j + 1] + 1 if x[i] == y[j] else max(d[i + 1][j], d[i][j + 1])
+    i = j = 0
+    out = ""
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+        elif d[i + 1][j] >= d[i][j + 1]:
+            out, i = out + x[i], i + 1
+        else:
+            j += 1
+    assert overlap(x, y) == d[0][0] and difference(x, y, lcs_rows(x, y)) == out + x[i:]
+
+
+def test_merge_decisions(spark):
+    new = "use the tabs for go"
+    rows_ = [(1, 10, 0.9, "use tabs for go", new), (1, 11, 0.99, "use spaces", new), (2, 12, 0.99, "xx", "use tabs"), (2, 13, 0.96, "use tags", "use tabs"), (3, 14, 0.99, "never use tabs", "use tabs"), (4, 15, 0.5, "abc", "def"), (5, 16, None, "Use it", "use it!")]
+    got = {r.new: r for r in decided(judged(spark.createDataFrame(rows_, "row long, old_id long, cosine double, old string, new string")).withColumnRenamed("row", "new")).collect()}
+    assert [(got[k].decision, got[k].rests_on) for k in range(1, 6)] == [("merge", 10), ("needs_judgement", 13), ("refused", 14), ("new", None), ("same", 16)]
+    assert got[2].escalated_from == 12 and got[2].reason == "candidates=2 anchor=13 escalated_from=12 over_tau=12,13 polarity_refused=none rule=embedding_scope verdict=needs_judgement"
+
+
+def test_context_budget(spark):
+    items = [(1, k, tag, "2024-05-01" if k % 2 else "", text, k == 3) for k, (tag, text) in enumerate([("b", "x" * 30), ("a", " y "), ("b", "z" * 90), ("c", "low"), ("d", "w" * 300)])]
+    d = spark.createDataFrame([*items, (2, 0, "a", None, None, False)], "query long, seq long, tag string, date string, content string, low boolean")
+    got = {r["query"]: r for r in packed(d, 100, 210).collect()}
+    assert got[1].context == "<b>\n" + "x" * 30 + "\n" + "z" * 69 + "\n... 22 chars cut\n</b>\n<a>\n[2024-05-01] y\n</a>\n<c>\n[unverified] [2024-05-01] low\n</c>\n(1 items left out)\n"
+    assert (got[1].used_chars, got[1].dropped_items) == (len(got[1].context), 1) and got[2].context == "<a>\n\n</a>\n"
+
+
+def retrieved(edges, seeds, hops, beam, most_paths, most_facts):
+    """Evidence paths by plain loops, over current facts."""
+    import math
+
+    now = [e for e in edges if e[5] is None]
+    rel = {r: sum(e[3] == r for e in now) for r in {e[3] for e in edges}}
+    deg = {n: sum((e[1] == n) + (e[2] == n) for e in now) for n in {x for e in edges for x in e[1:3]}}
+    weight = {e[0]: round(0.5 / (1 + math.log(1 + rel[e[3]])) / (1 + math.log(1 + deg[e[1]] + deg[e[2]])), 12) for e in now}
+    out = {}
+    for q in sorted({s[0] for s in seeds}):
+        front, pool, cuts = [([n], [], s) for k, n, s in seeds if k == q], [], []
+        key = lambda p: (-p[2], len(p[1]), p[0], p[1])
+        for hop in range(1, hops + 1):
+            grown = {}
+            for nodes, path, score in front:
+                for e in now:
+                    if nodes[-1] in e[1:3]:
+                        other = e[2] if e[1] == nodes[-1] else e[1]
+                        if other not in nodes:
+                            p = ([*nodes, other], [*path, e[0]], round(score * weight[e[0]], 12))
+                            grown[tuple(p[1])] = min(grown.get(tuple(p[1]), p), p, key=key)
+            level = sorted(grown.values(), key=key)
+            if len(level) > beam:
+                cuts.append("beam")
+            front = level[:beam]
+            pool += front
+            if front and hop == hops:
+                cuts.append("hops")
+        pool.sort(key=key)
+        why = "paths" if len(pool) > most_paths else cuts[0] if cuts else None
+        used, kept = set(), []
+        for p in pool[:most_paths]:
+            if len(used | set(p[1])) > most_facts and kept:
+                why = "facts"
+                continue
+            used |= set(p[1])
+            kept.append(p)
+        out |= {(q, k): (p[2], p[0], p[1], why) for k, p in enumerate(kept)}
+    return out
+
+
+@pytest.mark.parametrize(("hops", "beam", "most_paths", "most_facts"), [(3, 3, 5, 6), (2, 8, 12, 24), (3, 20, 30, 5), (1, 2, 9, 9)])
+def test_beams(spark, hops, beam, most_paths, most_facts):
+    import datetime as dt
+
+    r = random.Random(hops)
+    day = dt.datetime(2024, 1, 1)
+    edges = [(k, f"n{r.randint(0, 9)}", f"m{r.randint(0, 9)}", r.choice("abc"), day, r.choice([None, None, None, day]), "extracted") for k in range(40)]
+    seeds = [(1, "n1", 1.0), (1, "n2", 0.9), (2, "m3", 0.5), (3, "nowhere", 1.0)]
+    graph = spark.createDataFrame(edges, "edge_id long, src string, dst string, relation string, valid_at timestamp_ntz, invalid_at timestamp_ntz, event_time_source string")
+    got = retrieve(spark.createDataFrame(seeds, "query long, node string, score double"), graph, hops, beam, most_paths, most_facts).collect()
+    assert {(x["query"], x["rank"]): (x.score, x.nodes, x.edges, x.cut) for x in got} == retrieved(edges, seeds, hops, beam, most_paths, most_facts)
+
+
 def test_visibility(spark):
     df = spark.createDataFrame([("user",), ("project:a",), ("project:b",)], "ns string")
     assert {r.ns for r in df.filter(visible_to(F.col("ns"), "project:a")).collect()} == {"user", "project:a"}
@@ -49,13 +149,41 @@ def test_visibility(spark):
 
 
 def test_fusion_needs_a_leg(spark):
-    empty = spark.createDataFrame([], "item_id long, doc_id long, rank long, distance double, score double")
-    with pytest.raises(ValueError, match="positive"):
-        fused(empty, empty, 0, 0)
+    for bad in (Legs(w_semantic=0.0), Legs(w_keyword=float("nan")), Legs(w_semantic=float("inf")), Legs(keyword=False, w_keyword=float("nan"))):
+        with pytest.raises(ValueError, match="weight"):
+            bad.weights()
+    assert Legs(keyword=False, w_keyword=-1.0).weights() == (2.0, 0.0) and Legs(keyword=False).disabled() == ["keyword"]
+    assert Legs().label() == "rrf(k=60,w_sem=2,w_kw=1)"
     s = spark.createDataFrame([(1, 1, 0, 1.0), (1, 2, 1, 3.0)], "item_id long, doc_id long, rank long, distance double")
-    k = spark.createDataFrame([(1, 2, 0, 5.0)], "item_id long, doc_id long, rank long, score double")
+    k = spark.createDataFrame([(1, 2, 0, 5.0, "precision")], "item_id long, doc_id long, rank long, score double, stage string")
     got = {r.doc_id: (r.fused, r.relevance) for r in fused(s, k).collect()}
     assert got[2][0] > got[1][0] and got[1][1] == 0.5 and got[2][1] == 0.0
+    alone = {r.doc_id: r.fused for r in fused(s, k, Legs(semantic=False)).collect()}
+    assert set(alone) == {2} and alone[2] == round(1 / 61, 9)
+
+
+def test_every_stage_of_the_ladder(spark):
+    docs = spark.createDataFrame([(1, "the red fox runs"), (2, "red foxes run"), (3, "知识图谱很大"), (4, "图谱 and 知识"), (5, "underlying"), (6, None), (7, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "fox red"), (2, "fox blue"), (3, "识图谱"), (4, "derly"), (5, "zz qq"), (6, None), (7, "谱很"), (8, "ru")], "item_id long, text string")
+    got = {}
+    for r in keyword_stages(docs, items).collect():
+        got.setdefault((r.item_id, r.stage), set()).add(r.doc_id)
+    assert got == {(1, "precision"): {1}, (2, "prefix"): {1, 2}, (3, "bigram"): {3}, (4, "substring"): {5}, (7, "bigram"): {3}}
+
+
+def test_pages_begin_alike(spark):
+    """The first ten hits are the same however long the page is."""
+    from tessera.operators.retrieval import search
+
+    short, long = ({(r.item_id, r.rank): r.doc_id for r in search(spark, SF, n).collect()} for n in (5, 30))
+    assert short == {k: v for k, v in long.items() if k[1] < 5} and short
+
+
+def test_nearest_skips_other_lengths_and_keeps_ties(spark):
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0]), (5, None), (6, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [0.0, 1.0]), (8, [1.0]), (9, None)], "item_id long, q array<float>")
+    assert [(r.item_id, r.vec_id, r.value) for r in nearest(v, q, 2).orderBy("item_id", "rank").collect()] == [(7, 1, 0.0), (7, 2, 0.0), (8, 4, 0.0)]
+    assert {(r.item_id, r.vec_id) for r in nearest(v, q, 9, cosine=True, floor=0.5).collect()} == {(7, 1), (7, 2), (8, 4)}
 
 
 def test_components_and_communities(spark):
@@ -64,6 +192,11 @@ def test_components_and_communities(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert {got[k] for k in range(1, 21)} == {1} and got[31] == 30
     two = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0")]
+    d = spark.createDataFrame([*two, ("z1", "z2")], "a string, b string")
+    labels = components(d)
+    for found in (split(d), propagated(d, labels, 20)):
+        by = {r.node: r.community for r in found.collect()}
+        assert {by[f"{g}{i}"] for g in "xy" for i in range(5)} == {"x0", "y0"} and by["x3"] == "x0" and by["y3"] == "y0"
     found = local_moving(pd.DataFrame(two, columns=["a", "b"]))
     assert found.groupby(found["node"].str[0])["community"].nunique().tolist() == [1, 1] and found["community"].nunique() == 2
 
