@@ -6,7 +6,7 @@ import random
 
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -15,21 +15,80 @@ from tessera.operators.memory import decided, difference, judge, judged, lcs_row
 from tessera.operators.relational import optional, visible_to
 from tessera.functions.text import han_tokens
 from tessera.operators.retrieval import Legs, fused, keyword_stages, nearest
-from tessera.operators.text_rules import chunks, sentences
+from tessera.operators.text_rules import PREF, REQUIREMENT, candidates, chunks, expanded, marked, sentences
 from tessera.operators.wiki import citations
 from tessera.sources.checkpoints import ensure_folder
 from tests.conftest import SF
 
 
-def test_chunks_of_paragraphs_and_hard_cuts(spark):
-    docs = spark.createDataFrame([(1, "a" * 1700), (2, "one\n\n\n\ntwo"), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.paragraph, r.start): len(r.text) for r in chunks(docs).collect()}
-    assert got == {(1, 0, 0): 800, (1, 0, 700): 800, (1, 0, 1400): 300, (2, 0, 0): 3, (2, 2, 0): 3}
+def packed_chunks(text, target, overlap):
+    """Sections, hard cuts and packing by plain loops."""
+    out, at, sections = [], 0, []
+    for raw in text.split("\n\n"):
+        body = raw.strip()
+        if body:
+            start = at + len(raw[: len(raw) - len(raw.lstrip())].encode())
+            if body.startswith("#") or not sections:
+                sections.append([])
+            k = 0
+            while True:
+                piece = body[k : k + target]
+                sections[-1].append((start + len(body[:k].encode()), piece))
+                if k + target >= len(body):
+                    break
+                k += target - overlap
+        at += len(raw.encode()) + 2
+    for pieces in sections:
+        now = None
+        for start, piece in pieces:
+            if now and len(now[2]) + len(piece) + 2 > target:
+                out.append(now)
+                now = None
+            end = start + len(piece.encode())
+            now = (now[0], end, now[2] + "\n\n" + piece) if now else (start, end, piece)
+        out.append(now)
+    return out
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab é\n# ", max_size=70), min_size=1, max_size=8))
+def test_chunks(spark, parts):
+    text = "\n\n".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = chunks(docs, 20, 5).orderBy("start", "end", "section").collect()
+    assert [(r.start, r.end, r.text) for r in got] == sorted(packed_chunks(text, 20, 5))
+
+
+def test_chunks_of_long_paragraphs(spark):
+    docs = spark.createDataFrame([(1, "a" * 1700), (2, "# one\n\n" + "é" * 400 + "\n\n# two\n\nx"), (3, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.end, len(r.text)) for r in chunks(docs).orderBy("doc_id", "start").collect()]
+    assert got == [(1, 0, 800, 800), (1, 700, 1500, 800), (1, 1400, 1700, 300), (2, 0, 807, 407), (2, 809, 817, 8)]
+    section = expanded(spark.createDataFrame([(1, 1)], "doc_id long, chunk long"), docs).collect()
+    assert [(r.chunk, r.text) for r in section] == [(1, "a" * 1700)]
 
 
 def test_sentences(spark):
-    df = spark.createDataFrame([("Version 1.2 is out. 好的。真的！x",)], "text string")
-    assert df.select(sentences()).first()[0] == ["Version 1.2 is out.", "好的。", "真的！"]
+    df = spark.createDataFrame([(1, "Version 1.2 is  out. 好的。真的！x"), (2, None), (3, "a; b\n\nlast")], "doc_id long, text string")
+    assert [tuple(r) for r in sentences(df).orderBy("doc_id", "start").collect()] == [(1, 0, "Version 1.2 is out."), (1, 20, "好的。"), (1, 30, "真的！"), (3, 0, "a;"), (3, 6, "last")]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("I prefer tabs", True), ("他说他需要更多时间", False), ("如果需要的话我可以补", False), ("需要说明的是这个", False), ("she wrote “i like it” there", False), ('he "i like it"', False), ("> i like it", False), ("i don't always use it", False),
+     ("用不用我的", True), ("never call it x, call it y", True), ("", False), ("不需要", False), ("要不要用它", False)],
+)
+def test_requirement_guards(spark, text, found):
+    df = spark.createDataFrame([(text.lower(),)], "low string")
+    assert df.select(marked("low", PREF, *REQUIREMENT)).first()[0] is found
+
+
+def test_memory_candidates(spark):
+    turns = [(1, 0, "user", "I prefer tabs. Do you? 我觉得可能行。"), (1, 1, "assistant", "Note that it requires root."), (1, 2, "user", "No, actually we decided on docker."), (1, 3, "assistant", "A gotcha, maybe."), (1, 4, "user", "i prefer TABS"), (2, 0, "user", "Perfect."), (2, 1, "user", None)]
+    got = {(r.conv_id, r.turn, r.rule): (r.store, r.confidence) for r in candidates(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {
+        (1, 0, "user_preference"): ("profile", "unconfirmed"), (1, 0, "hedged_statement"): ("observation", "hedged"), (1, 2, "user_correction"): ("observation", "corrected"),
+        (1, 2, "user_decision"): ("procedure", "unconfirmed"), (1, 3, "lesson_learned"): ("lesson", "hedged"), (2, 0, "user_preference"): ("profile", "confirmed"),
+    }
 
 
 def test_han_pairs(spark):
@@ -44,7 +103,7 @@ def test_citations(spark):
 
 @pytest.mark.parametrize(
     ("old", "new", "verdict"),
-    [("Use tabs.", "use TABS", "same"), ("use tabs", "please use the tabs", "mergeable"), ("use tabs", "never use tabs", "polarity"), ("use tabs", "use spaces", "content"), ("", "x", "empty"), (None, "", "same"),
+    [("Use tabs.", "use TABS", "same"), ("use tabs", "please use tabs", "mergeable"), ("use tabs", "please use the tabs", "content"), ("use tabs", "never use tabs", "polarity"), ("use tabs", "use spaces", "content"), ("", "x", "empty"), (None, "", "same"),
      ("用户偏好使用简体中文交流。", "用户使用简体中文进行交流。", "mergeable"), ("用户偏好简体中文", "用户不使用简体中文", "polarity"), ("note it", "nothing", "content")],
 )
 def test_judge(old, new, verdict):
@@ -72,7 +131,7 @@ def test_common_subsequences(x, y):
 
 
 def test_merge_decisions(spark):
-    new = "use the tabs for go"
+    new = "please use tabs for go"
     rows_ = [(1, 10, 0.9, "use tabs for go", new), (1, 11, 0.99, "use spaces", new), (2, 12, 0.99, "xx", "use tabs"), (2, 13, 0.96, "use tags", "use tabs"), (3, 14, 0.99, "never use tabs", "use tabs"), (4, 15, 0.5, "abc", "def"), (5, 16, None, "Use it", "use it!")]
     got = {r.new: r for r in decided(judged(spark.createDataFrame(rows_, "row long, old_id long, cosine double, old string, new string")).withColumnRenamed("row", "new")).collect()}
     assert [(got[k].decision, got[k].rests_on) for k in range(1, 6)] == [("merge", 10), ("needs_judgement", 13), ("refused", 14), ("new", None), ("same", 16)]
