@@ -70,7 +70,10 @@ class Runs:
 
 @dataclass
 class Bodies:
-    """Different bodies (text, its size, the key, the anchor's unit, whether it stands twice) and who owns them (body, document, place)."""
+    """Different bodies (text, its size, the key, the anchor's unit, whether it stands twice) and who owns them (body, document, place).
+
+    The last exchange of word bodies leaves the keys out: the words at the anchor say as much.
+    """
 
     text: bytes
     size: np.ndarray
@@ -88,15 +91,16 @@ class Bodies:
         text = b"".join([self.text[x:y] for x, y in zip(starts[which].tolist(), (starts + self.size)[which].tolist(), strict=True)])
         return Bodies(text, self.size[which], self.key[which], self.anchor[which], self.twice[which], np.searchsorted(which, self.body[owners]), self.id[owners], self.hash[owners], self.place[owners])
 
-    def pack(self) -> bytes:
+    def pack(self, with_key: bool = True) -> bytes:
         docs, doc = np.unique(np.stack((self.id, self.hash), axis=1), axis=0, return_inverse=True)
-        return pickle.dumps((self.text, thin(self.size), self.key, thin(self.anchor), np.packbits(self.twice), thin(self.body), thin(docs[:, 0]), docs[:, 1].astype(np.int32), thin(doc.ravel()), thin(self.place)), protocol=5)
+        return pickle.dumps((self.text, thin(self.size), self.key if with_key else None, thin(self.anchor), np.packbits(self.twice), thin(self.body), thin(docs[:, 0]), docs[:, 1].astype(np.int32), thin(doc.ravel()), thin(self.place)), protocol=5)
 
     @staticmethod
     def unpack(raw: bytes) -> Bodies:
         text, size, key, anchor, twice, body, ids, hashes, doc, place = pickle.loads(raw)  # noqa: S301
-        doc = thick(doc)
-        return Bodies(text, thick(size), key, thick(anchor), np.unpackbits(twice, count=len(key)).astype(bool), thick(body), thick(ids)[doc], hashes.astype(np.int64)[doc], thick(place))
+        doc, size = thick(doc), thick(size)
+        key = np.zeros(len(size), dtype=np.uint64) if key is None else key
+        return Bodies(text, size, key, thick(anchor), np.unpackbits(twice, count=len(size)).astype(bool), thick(body), thick(ids)[doc], hashes.astype(np.int64)[doc], thick(place))
 
     @staticmethod
     def joined(parts: list[Bodies]) -> Bodies:
@@ -278,9 +282,9 @@ def dealt(b: Bodies, of: np.ndarray) -> Iterator[tuple[int, Bodies]]:
         yield bucket, b.some(order[starts[k] : starts[k + 1] if k + 1 < len(starts) else None], owners[at[k] : to[k]])
 
 
-def press(found: Iterable[tuple[int, Bodies]]) -> pa.RecordBatch:
+def press(found: Iterable[tuple[int, Bodies]], with_key: bool = True) -> pa.RecordBatch:
     squeeze = zstandard.ZstdCompressor(level=3)
-    rows = [(k, squeeze.compress(b.pack())) for k, b in found]
+    rows = [(k, squeeze.compress(b.pack(with_key))) for k, b in found]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
 
@@ -299,7 +303,7 @@ def coarse(docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
         for rows, data, offsets in slices([batch.filter(pa.array(own))], "text", SLICE):
             b, done = bodies(kind, rows, data, offsets, hot.value, copy[own][at : at + rows.num_rows])
             at += rows.num_rows
-            yield press(dealt(b, (b.key % np.uint64(buckets) % deal).astype(np.int64))) if b else None
+            yield press(dealt(b, (b.key % np.uint64(buckets) % deal).astype(np.int64)), buckets > COARSE or not kind.by_words) if b else None
             yield done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +330,9 @@ def settle(kind: Kind, solve: Solve, b: Bodies) -> pa.RecordBatch:
     return ranges(b.id[owner[gone]], b.hash[owner[gone]], start[gone], start[gone] + kind.length)
 
 
-def alone(b: Bodies) -> np.ndarray:
+def alone(key: np.ndarray) -> np.ndarray:
     """Which bodies have a key that no other has."""
-    _, of, n = np.unique(b.key, return_inverse=True, return_counts=True)
+    _, of, n = np.unique(key, return_inverse=True, return_counts=True)
     return n[of] == 1
 
 
@@ -342,7 +346,7 @@ def spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
 
         def out():
             b = Bodies.joined(held)
-            return press(dealt(b, (b.key % np.uint64(buckets)).astype(np.int64)))
+            return press(dealt(b, (b.key % np.uint64(buckets)).astype(np.int64)), not kind.by_words)
 
         for batch in batches:
             for p in batch.column("payload"):

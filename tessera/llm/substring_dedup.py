@@ -64,11 +64,14 @@ def solve(b: Bodies) -> tuple[np.ndarray, np.ndarray]:
     least = np.full(len(n), np.iinfo(np.int64).max)
     np.minimum.at(least, b.body, b.id)
     out = np.repeat(least, count)
-    some = np.flatnonzero(~alone(b))
+    prefix = number[first + b.anchor]
+    for k in range(1, KIND.gram):
+        prefix = np.unique(prefix * (number.max() + 1) + number[first + b.anchor + k], return_inverse=True)[1]
+    some = np.flatnonzero(~alone(prefix))
     if not len(some):
         return count, out
     first, n, anchor, least, base = first[some], n[some], b.anchor[some], least[some], base[some]
-    key = np.unique(b.key[some], return_inverse=True)[1]
+    key = np.unique(prefix[some], return_inverse=True)[1]
     ahead, behind = anchor[:, None] + np.arange(WINDOW), anchor[:, None] - 1 - np.arange(WINDOW - 1)
     right = np.where(ahead < n[:, None], number[np.minimum(first[:, None] + ahead, len(number) - 1)], -1)
     left = np.where(behind >= 0, number[np.maximum(first[:, None] + behind, 0)], -1)
