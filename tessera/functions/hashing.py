@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import terms
+
 #: Fixed values of FNV-1a with 64 bits, and the embedding's default and least dimensions.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 DIMENSIONS, LEAST_DIMENSIONS = 256, 8
 
 
-def fnv1a(data: bytes) -> int:
-    h = OFFSET
-    for b in data:
-        h = ((h ^ b) * PRIME) & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv1a(words: list[bytes]) -> np.ndarray:
+    """The hashes of all words, byte place by byte place."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, first, ordered = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint64), (np.cumsum(size) - size)[order], size[order]
+    h = np.full(len(words), OFFSET, dtype=np.uint64)
+    for at in range(int(size.max()) if len(words) else 0):
+        n = int(np.searchsorted(-ordered, -at, side="left"))  # words longer than `at` come first
+        h[:n] = (h[:n] ^ data[first[:n] + at]) * np.uint64(PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
-@lru_cache(maxsize=200_000)
-def of_word(word: str) -> int:
-    return fnv1a(word.encode())
+def fact_hash(text: Column | str) -> Column:
+    """Hex FNV-1a of the text in lower case with white space collapsed."""
 
+    @F.pandas_udf(T.StringType())
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{x:016x}" for x in fnv1a([t.encode() for t in texts]).tolist()])
 
-@F.pandas_udf(T.StringType())
-def fact_hash(texts: pd.Series) -> pd.Series:
-    """Hex FNV-1a of the text in lower case with white space collapsed."""
-    return texts.map(lambda t: f"{fnv1a(' '.join((t or '').lower().split()).encode()):016x}")
+    text = F.col(text) if isinstance(text, str) else text
+    return hashed(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")))
 
 
 def embedder(dimensions: int = DIMENSIONS):
@@ -38,14 +45,13 @@ def embedder(dimensions: int = DIMENSIONS):
     size = max(dimensions, LEAST_DIMENSIONS)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.bincount([of_word(w) % size for w in re.findall(r"[^\W_]+", (t or "").lower())] or [0], minlength=size).astype(np.float64)
-            if not (t or "").strip() or not re.search(r"[^\W_]", t):
-                v[:] = 0
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n else v).astype(np.float32))
-        return pd.Series(out)
-
-    return embed
+    def embed(words: pd.Series) -> pd.Series:
+        count = words.map(len).to_numpy()
+        code, different = pd.factorize(np.concatenate(words.to_list())) if count.sum() else (np.zeros(0, dtype=np.int64), [])
+        place = (fnv1a([w.encode() for w in different]) % np.uint64(size)).astype(np.int64)
+        row = np.repeat(np.arange(len(words)), count)
+        v = np.bincount(row * size + place[code], minlength=len(words) * size).reshape(len(words), size).astype(np.float64)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
+
+    return lambda text: embed(terms(text))

@@ -80,6 +80,10 @@ judged AS (SELECT f.seq, CASE WHEN f.store = 'system' AND f.namespace = 'p1' THE
 FROM first f LEFT JOIN live ON f.store = live.store AND f.namespace = live.namespace AND f.h = live.h LEFT JOIN tomb ON f.store = tomb.store AND f.namespace = tomb.namespace AND f.h = tomb.h LEFT JOIN existing t ON f.supersedes = t.id)
 SELECT seq, op, before FROM judged""", "A batch of writes against the store, every outcome as an audit row: refused scope, duplicate, supersession (of nothing, of a row that is not current here, or done), revived or blocking tombstone, insert.")
 
+query("confidence_rule", f"""WITH {MEMORIES}, s AS (SELECT id, CASE WHEN id % 13 = 0 THEN (id % 30) / 20.0 - 0.2 END AS explicit, id % 5 = 1 AS confirmed, id % 7 = 1 AS corrected, id % 3 = 1 AS hedged FROM memories)
+SELECT id, round(CAST(CASE WHEN explicit IS NOT NULL THEN greatest(0.0, least(1.0, explicit)) WHEN confirmed OR corrected THEN 1.0 WHEN hedged THEN 0.4 ELSE 0.8 END AS DOUBLE), 6) AS confidence FROM s""", "An explicit value between 0 and 1, else what was confirmed or corrected is sure, what was hedged is not, and the rest fairly.")
+query("like_scan", "SELECT page_id, url LIKE '%page=_&ref=%' AS any_page, url LIKE '%!?page=2!&%' ESCAPE '!' AS second_page, html LIKE '%100!%%' ESCAPE '!' AS percent FROM {pages}".replace("!?", "?").replace("!&", "&"), "Patterns with wild cards, and with escaped ones.")
+
 # Entities
 
 query("entity_upsert", f"""WITH {ENTITIES}, k AS (SELECT lower(trim(name)) AS norm_name, trim(name) AS name, kind, summary, seq FROM names)

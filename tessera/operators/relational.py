@@ -85,9 +85,9 @@ ROUTES = [("license", "legal"), ("the", "english"), ("der", "german"), ("le", "f
 
 
 @query("""SELECT route, count(*) AS n FROM (SELECT CASE WHEN contains(t, 'license') THEN 'legal' WHEN contains(t, 'the') THEN 'english' WHEN contains(t, 'der') THEN 'german' WHEN contains(t, 'le') THEN 'french' ELSE 'default' END AS route
-FROM (SELECT lower(substr(text, 1, 40)) AS t FROM documents)) GROUP BY route""")
+FROM (SELECT lower(text) AS t FROM documents)) GROUP BY route""")
 def first_match_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title, route = F.lower(F.substring("text", 1, 40)), None
+    title, route = F.lower("text"), None
     for needle, name in ROUTES:
         route = (F if route is None else route).when(F.contains(title, F.lit(needle)), name)
     return table(spark, sf_dir, "documents").groupBy(route.otherwise("default").alias("route")).agg(F.count("*").alias("n"))
@@ -133,21 +133,21 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "h").filter("doc_id != first").select("doc_id")
 
 
-@query("SELECT least(a.p_partkey, b.p_partkey) AS a, greatest(a.p_partkey, b.p_partkey) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+@query("WITH f AS (SELECT p_name, p_brand, min(p_partkey) AS a FROM part GROUP BY p_name, p_brand) SELECT a, p_partkey AS b FROM part JOIN f ON part.p_name = f.p_name AND part.p_brand = f.p_brand WHERE a < p_partkey")
 def same_object_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity pairs judged the same, i < j, joined on the blocking key and never all with all."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
-    return a.join(b, ["p_brand", "p_type", "p_size"]).filter("a < b").select("a", "b")
+    """Entities of the same name and brand: each with the first of its class, so the pairs grow with the entities and not with the square of a class."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    first = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("a"))
+    return p.join(first, ["p_name", "p_brand"]).filter("a < p_partkey").select("a", F.col("p_partkey").alias("b"))
 
 
 @query("""WITH d AS (SELECT l_suppkey, count(*) AS degree FROM lineitem GROUP BY 1)
-SELECT s1.s_suppkey AS a, s2.s_suppkey AS b, d1.degree AS degree_a, d2.degree AS degree_b FROM supplier s1 JOIN supplier s2 ON s1.s_nationkey = s2.s_nationkey AND s1.s_suppkey < s2.s_suppkey LEFT JOIN d d1 ON d1.l_suppkey = s1.s_suppkey LEFT JOIN d d2 ON d2.l_suppkey = s2.s_suppkey""")
+SELECT a, b, d1.degree AS degree_a, d2.degree AS degree_b FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier) LEFT JOIN d d1 ON d1.l_suppkey = a LEFT JOIN d d2 ON d2.l_suppkey = b WHERE b IS NOT NULL""")
 def pending_pairs_with_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with both ends' fact counts: counted once and joined twice instead of a subquery for each row."""
+    """Pairs that await a ruling (here: neighbours of one nation) with both ends' fact counts: counted once and joined twice instead of a subquery for each row."""
     degree = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("degree"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = s.withColumnRenamed("s_suppkey", "a").join(s.withColumnRenamed("s_suppkey", "b"), "s_nationkey").filter("a < b")
+    next_one = F.lead("s_suppkey").over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    pairs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), next_one.alias("b")).filter("b is not null")
     for end in "ab":
         pairs = pairs.join(degree.select(F.col("l_suppkey").alias(end), F.col("degree").alias(f"degree_{end}")), end, "left")
     return pairs.select("a", "b", "degree_a", "degree_b")
@@ -190,16 +190,6 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).groupBy("store", "namespace").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FACTS_SQL}, c AS (SELECT * FROM facts WHERE invalid_at IS NULL), r AS (SELECT relation, count(*) AS n FROM c GROUP BY relation), s AS (SELECT src, count(*) AS ds FROM c GROUP BY src), d AS (SELECT dst, count(*) AS dd FROM c GROUP BY dst)
-SELECT edge_id, round(0.5 / (1 + ln(1 + n)) / (1 + ln(1 + ds + dd)), 9) AS weight FROM c JOIN r USING (relation) JOIN s USING (src) JOIN d USING (dst)""")
-def hop_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare relations and ends of low degree weigh more; both counted over current facts."""
-    now = facts(spark, sf_dir).filter("invalid_at is null").select("edge_id", "src", "dst", "relation")
-    for c, n in (("relation", "n"), ("src", "ds"), ("dst", "dd")):
-        now = now.join(now.groupBy(c).agg(F.count("*").alias(n)), c) if c == "relation" else now.join(facts(spark, sf_dir).filter("invalid_at is null").groupBy(c).agg(F.count("*").alias(n)), c)
-    return now.select("edge_id", F.round(0.5 / (1 + F.log(1 + F.col("n"))) / (1 + F.log(1 + F.col("ds") + F.col("dd"))), 9).alias("weight"))
-
-
 @query("""WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT list(n ORDER BY n) AS v FROM c) SELECT v[1] AS least, v[len(v) // 2 + 1] AS median, v[len(v)] AS most FROM o""")
 def facts_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, upper median and most; ranks come from counts of equal values, so no list of all entities is built."""
@@ -277,11 +267,11 @@ def balanced_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sets
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'A'")
 def retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claimed by the earlier revision and not by the current one."""
     line = table(spark, sf_dir, "lineitem")
-    return line.filter("l_returnflag = 'R'").select("l_partkey").subtract(line.filter("l_returnflag = 'A'").select("l_partkey"))
+    return line.filter("l_quantity > 40 and l_returnflag = 'R'").select("l_partkey").subtract(line.filter("l_quantity > 30 and l_returnflag = 'A'").select("l_partkey"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, 1 AS stage FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderpriority = '1-URGENT') SELECT id, min(stage) AS stage FROM s GROUP BY id""")

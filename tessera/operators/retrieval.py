@@ -412,15 +412,27 @@ HAN_SQL = r"""WITH r AS (SELECT doc_id, list_transform(regexp_extract_all(coales
 SELECT doc_id, (words + coalesce(list_sum(list_transform(han, lambda n: greatest(n - 1, 1))), 0))::BIGINT AS n_tokens, coalesce(list_sum(list_transform(han, lambda n: n - 1)), 0)::BIGINT AS n_pairs FROM r"""
 
 
+def fnv_sql(text: str) -> str:
+    return f"""list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::UTINYINT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"""
+
+
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag-of-words vectors of all documents by hashed words."""
-    return table(spark, sf_dir, "documents").select("doc_id", embedder()(F.col("text")).alias("embedding"))
+    """Bag-of-words vectors of all documents by hashed words, as (doc_id, dim, weight) where they are not 0."""
+    v = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embedder()(F.col("text"))).alias("dim", "w"))
+    return v.filter("w > 0").select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("w").cast("double"), 5).alias("weight"))
+
+
+EMBEDDING_SQL = f"""WITH t AS (SELECT doc_id, unnest({TERMS_SQL}) AS w FROM documents), v AS (SELECT w, ({fnv_sql("w")} % 256)::BIGINT AS dim FROM (SELECT DISTINCT w FROM t)), c AS (SELECT doc_id, dim, count(*) AS n FROM t JOIN v USING (w) GROUP BY doc_id, dim)
+SELECT doc_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS weight FROM c"""
 
 
 def fact_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fact_hash(F.concat_ws(" is ", "p_name", "p_type")).alias("fact_hash"))
 
 
+FACT_HASH_SQL = f"""WITH t AS (SELECT p_partkey, lower(p_name || ' is ' || p_type) AS t FROM part) SELECT p_partkey, lower(lpad(to_hex({fnv_sql("t")}::UBIGINT), 16, '0')) AS fact_hash FROM t"""
+
+
 QUERIES = {
     "hash_embeddings": hash_embeddings, "fact_hashes": fact_hashes, "han_grams": han_grams, "phrase_search": phrase_search, "wiki_stubs": wiki_stubs,
     "hybrid_retrieval": hybrid_retrieval, "fts_bm25_topk": fts_bm25_topk, "vector_knn": vector_knn, "search_evidence_counts": search_evidence_counts,
@@ -428,5 +440,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "hybrid_retrieval": HYBRID_SQL, "fts_bm25_topk": FTS_SQL, "vector_knn": VECTOR_KNN_SQL, "search_evidence_counts": EVIDENCE_SQL, "keyword_ladder": KEYWORD_LADDER_SQL, "han_grams": HAN_SQL, "phrase_search": PHRASE_SQL,
-    "wiki_stubs": WIKI_STUBS_SQL, "retrieval_metrics": METRICS_SQL, "distance_threshold": THRESHOLD_SQL, "cosine_floor": COSINE_SQL, "term_frequencies": TERM_SQL,
+    "wiki_stubs": WIKI_STUBS_SQL, "hash_embeddings": EMBEDDING_SQL, "fact_hashes": FACT_HASH_SQL, "retrieval_metrics": METRICS_SQL, "distance_threshold": THRESHOLD_SQL, "cosine_floor": COSINE_SQL, "term_frequencies": TERM_SQL,
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from tessera.operators import entities, graph, memory, notes, records, relational, retrieval, text_rules, wiki
+from tessera.sources import ingest
 from tessera.streaming import events
 
-_PARTS = (retrieval, relational, records, memory, graph, entities, notes, text_rules, wiki, events)
+_PARTS = (retrieval, relational, records, memory, graph, entities, notes, ingest, text_rules, wiki, events)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_retrieval"

@@ -263,8 +263,8 @@ def test_components_and_communities(spark):
 def test_hashes(spark):
     from tessera.functions.hashing import embedder, fact_hash, fnv1a
 
-    assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert fnv1a([b"", b"a", b"foobar"]).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
     df = spark.createDataFrame([("A  b\nB",), (None,), ("--",)], "t string")
     got = df.select(embedder(8)(F.col("t")).alias("v"), fact_hash("t").alias("h")).collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-6 and not any(got[1].v) and not any(got[2].v)
-    assert got[0].h == f"{fnv1a(b'a b b'):016x}"
+    assert got[0].h == f"{int(fnv1a([b'a b b'])[0]):016x}"
