@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.frames import shield, unshield
 from tessera.llm.repeats import Bodies, Kind, alone, gone_mask, with_spans
-from tessera.llm.text import spread
+from tessera.llm.text import Rolling, spread
 
 LENGTH = 400
 KIND = Kind(by_words=False, length=LENGTH, gram=32, split=64, by_order=False, growth=3.7)
@@ -84,13 +84,23 @@ def parted(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, edge[:n]
 
 
+def recurring(b: Bodies, some: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Those bodies in which the hash of a window recurs: others cannot hold a repeated window and need no transform."""
+    joined = np.frombuffer(b"".join([b.text[x:y] for x, y in zip(start[some].tolist(), (start + b.size)[some].tolist(), strict=True)]), dtype=np.uint8)
+    at = spread(np.cumsum(b.size[some]) - b.size[some], count[some])
+    body = np.repeat(np.arange(len(some)), count[some])
+    h = np.sort(hashes := Rolling(joined)(at, at + LENGTH))
+    twice = h[1:][h[1:] == h[:-1]]
+    return some[np.unique(body[np.isin(hashes, twice)])]
+
+
 def solve(b: Bodies) -> tuple[np.ndarray, np.ndarray]:
     """By body the number of windows and, for each, whether it occurs twice."""
     count = b.size - LENGTH + 1
     out = np.repeat(b.twice, count)
     base, start = np.cumsum(count) - count, np.cumsum(b.size) - b.size
     order = np.argsort(b.key, kind="stable")
-    order = order[~alone(b)[order]]
+    order = order[~alone(b.key)[order]]
     ends = np.flatnonzero(np.diff(b.key[order]) != 0) + 1
     # Groups of one key, as many as fill a text, are transformed at once.
     full = np.cumsum(b.size[order])
@@ -99,8 +109,10 @@ def solve(b: Bodies) -> tuple[np.ndarray, np.ndarray]:
         to = min(int(np.searchsorted(full, (full[at - 1] if at else 0) + TEXT)), len(order) - 1)
         k = np.searchsorted(ends, to, side="right")
         to = int(ends[k]) if k < len(ends) else len(order)
-        some = order[at:to]
+        some = recurring(b, order[at:to], start, count)
         at = to
+        if not len(some):
+            continue
         raw = np.frombuffer(b"".join([b.text[x:y] + b"\0" for x, y in zip(start[some].tolist(), (start + b.size)[some].tolist(), strict=True)]), dtype=np.uint8)
         text = raw.astype(np.int64) + 1
         close = np.cumsum(b.size[some] + 1) - 1
