@@ -14,6 +14,7 @@ from tessera.operators.graph import components, local_moving, propagated, retrie
 from tessera.operators.memory import decided, difference, judge, judged, lcs_rows, overlap, packed
 from tessera.operators.relational import optional, visible_to
 from tessera.functions.text import han_tokens
+from tessera.operators import extraction
 from tessera.operators.retrieval import Legs, fused, keyword_stages, nearest
 from tessera.operators.text_rules import PREF, REQUIREMENT, candidates, chunks, expanded, marked, sentences
 from tessera.operators.wiki import citations
@@ -82,6 +83,27 @@ def test_requirement_guards(spark, text, found):
     assert df.select(marked("low", PREF, *REQUIREMENT)).first()[0] is found
 
 
+def test_entity_and_relation_candidates(spark):
+    text = "# 1. Query Planner (QP)\n\nThe Spark Engine is a `planner`. We run `x.py` on Spark Engine.\nSee [[Data Lake|lake]] and [[Data Lake]].\n知识图谱 和 知识图谱 和 知识图谱。\n## Notes\nHere `if` uses `planner`. Here `x.py` uses `planner`. Now `x.py` uses `planner`!"
+    d = spark.createDataFrame([(1, text), (2, ""), (3, "One Two. One Two. One Two.")], "doc_id long, text string")
+    e = extraction.entities(extraction.windowed(d))
+    got = {(r.doc_id, r.name): (r.rule, r.kind, r.df) for r in e.collect()}
+    assert got == {
+        (1, "Query Planner (QP)"): ("heading_entity", "concept", 1), (1, "Data Lake"): ("wiki_link", "concept", 2), (1, "planner"): ("inline_code_identifier", "concept", 4), (1, "x.py"): ("inline_code_identifier", "tool", 3),
+        (1, "Spark Engine"): ("proper_noun_phrase", "concept", 2), (1, "Engine"): ("proper_noun_phrase", "concept", 2), (1, "知识图谱"): ("chinese_term_run", "concept", 3),
+    }
+    r = {(x.src, x.relation, x.dst): x.support for x in extraction.relations(extraction.windowed(d), e).collect()}
+    assert r == {("Spark Engine", "is_a", "planner"): 1, ("x.py", "uses", "planner"): 2}
+
+
+def test_long_documents_end_at_a_blank_line(spark):
+    long = "a" * 1000 + "\n\n" + "é" * extraction.MOST_TEXT
+    d = spark.createDataFrame([(1, long), (2, "é" * extraction.MOST_TEXT), (3, "short"), (4, "x" + "é" * extraction.MOST_TEXT)], "doc_id long, text string")
+    got = {r.doc_id: (len(r.text.encode()), r.skipped) for r in extraction.windowed(d).collect()}
+    n = extraction.MOST_TEXT
+    assert got == {1: (1002, 2 * n), 2: (n, n), 3: (5, 0), 4: (n - 1, n + 2)}
+
+
 def test_memory_candidates(spark):
     turns = [(1, 0, "user", "I prefer tabs. Do you? 我觉得可能行。"), (1, 1, "assistant", "Note that it requires root."), (1, 2, "user", "No, actually we decided on docker."), (1, 3, "assistant", "A gotcha, maybe."), (1, 4, "user", "i prefer TABS"), (2, 0, "user", "Perfect."), (2, 1, "user", None)]
     got = {(r.conv_id, r.turn, r.rule): (r.store, r.confidence) for r in candidates(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
