@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Thin rows that one task takes without trouble.
+TASK_ROWS = 150_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than `rows` thin rows need: steps over little data then write few files, or none."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) of thin rows in as many partitions as they need, and their number, which writing them tells."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return fitted(out, n), n
+
+
 def shield(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one struct, so that no name of theirs can clash with a working column."""
     rest = [c for c in docs.columns if c not in used]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import cut, shield, unshield
+from tessera.llm.frames import counted, cut, fitted, shield, unshield
 from tessera.llm.text import Rolling, mix, slices, words
 
 SHINGLE = 5
@@ -156,14 +156,14 @@ def first_shingles(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     return np.concatenate((np.sort(x[~has]), np.sort(x[has])))[: int(len(x) * (1 - SIMILARITY) + 1e-9) + 1]
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, pivot, linked, n, first) of pairs (node, pivot, wide): n is the node's length; first (empty unless wide) its first shingles.
+def compared(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """(node, pivot, linked, n, first) of n pairs (node, pivot, wide): n is the node's length; first (empty unless wide) its first shingles.
 
     A pivot of many nodes has its text sent once for each SHARE of them.
     """
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
+    parts = fitted(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).alias("parts")), n)
     of_pivot = texts.withColumnRenamed("node", "pivot").join(parts, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("text").alias("y"))
-    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = fitted(pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), n)
     both = dealt.join(texts.withColumnRenamed("text", "x"), "node").join(of_pivot, ["pivot", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,23 +194,24 @@ def prefixes(reps: DataFrame) -> DataFrame:
 
 
 def groups(reps: DataFrame) -> DataFrame:
-    """(key, node, size) of all groups of two and more texts that share a band or, of short ones, a shingle of their prefixes."""
-    members = reps.select("node", F.explode("sketch").alias("key")).unionByName(prefixes(reps))
+    """(key, node, n, size) of all groups of two and more texts that share a band or, of short ones, a shingle of their prefixes."""
+    members = reps.select("node", "n", F.explode("sketch").alias("key")).unionByName(prefixes(reps).join(reps.select("node", "n"), "node").select("node", "n", "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return cut(members.join(sizes, "key"))
+    return members.join(sizes, "key")
 
 
-def relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, nodes: int, found: DataFrame, n: int) -> DataFrame:
     """Every text takes the best label among its neighbours' and its own, twice; so equal labels mean connected."""
     ends = found.unionByName(found.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")))
     for _ in range(2):
-        best = ends.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot").groupBy("node").agg(F.max("label").alias("best"))
-        labels = cut(labels.join(best, "node", "left").select("node", "rank", F.greatest("label", F.coalesce("best", "label")).alias("label")))
-    return labels
+        near = fitted(ends.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot"), 2 * n)
+        best = fitted(near.groupBy("node").agg(F.max("label").alias("best")), 2 * n)
+        labels = fitted(labels.join(best, "node", "left").select("node", "rank", F.greatest("label", F.coalesce("best", "label")).alias("label")), nodes)
+    return fitted(cut(labels), nodes)
 
 
 def differences(first: DataFrame) -> DataFrame:
-    """(key, node, n, most, open): texts that share one of their first shingles besides a pivot, one of them not linked with it (open). Their partners have `most` shingles at the most."""
+    """(key, node, most, n, open): texts that share one of their first shingles besides a pivot, one of them not linked with it (open). Their partners have `most` shingles at the most."""
     wide = first.filter(F.size("first") > 0)
     rows = wide.join(wide.filter("not linked").select("pivot").distinct(), "pivot", "left_semi")
     rows = rows.select("node", "pivot", "n", (~F.col("linked")).alias("open"), F.posexplode("first").alias("place", "shingle"))
@@ -220,54 +221,57 @@ def differences(first: DataFrame) -> DataFrame:
     return rows.join(shared.filter("times > 1 and most_open is not null"), "key").filter("n <= most_open and least_open <= most").select("key", "node", "n", "most", "open")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, pivot) of linked texts; reps holds (node, rep, n, sketch, listed) of each text with words."""
-    members = groups(reps)
-    facts = cut(members.groupBy("node").agg(F.sum("size").alias("score")).join(reps.select("node", "rep", "n"), "node"))
+def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, int]:
+    """(node, pivot) of linked texts and their number; reps holds (node, rep, n, sketch, listed) of each text with words."""
+    members, n_members = counted(groups(reps))
+    scores = fitted(members.groupBy("node").agg(F.sum("size").alias("score"), F.first("n").alias("n")), n_members)
+    facts, n_nodes = counted(scores.join(reps.select("node", "rep"), "node"))
     texts = docs.select(number().alias("rep"), digest().alias("node"), "text").join(facts.select("rep", "node"), ["rep", "node"]).dropDuplicates(["node"])
     texts = cut(texts.select("node", "text"))
     labels = facts.select("node", F.struct("score", "node", "n").alias("rank")).withColumn("label", F.col("rank"))
 
     # All texts of a group with its pivot. In groups of three and more what parts them from it is kept.
-    members = cut(members.join(labels.select("node", "rank"), "node"))
-    pivots = members.groupBy("key").agg(F.max("rank").alias("pivot"))
-    star = members.join(pivots, "key").filter("node != pivot.node").groupBy("node", "pivot", "rank.n").agg(F.max(F.col("size") > 2).alias("wide"))
-    star = star.filter(F.col("wide") | comparable("n", "pivot.n")).select("node", F.col("pivot.node").alias("pivot"), "wide")
-    first = cut(compared(star, texts))
-    found = first.filter("linked").select("node", "pivot")
-    labels = relabelled(labels, found)
+    members = fitted(members.select("key", "node", "size").join(labels.select("node", "rank"), "node"), n_members)
+    pivots = fitted(members.groupBy("key").agg(F.max("rank").alias("pivot")), n_members)
+    star = fitted(members.join(pivots, "key").filter("node != pivot.node"), n_members).groupBy("node", "pivot", "rank.n").agg(F.max(F.col("size") > 2).alias("wide"))
+    star, n_star = counted(star.filter(F.col("wide") | comparable("n", "pivot.n")).select("node", F.col("pivot.node").alias("pivot"), "wide"))
+    first = cut(compared(star, n_star, texts))
+    found = fitted(first.filter("linked").select("node", "pivot"), n_star)
+    labels = relabelled(labels, n_nodes, found, n_star)
 
     # Texts that share a difference with one of them, if they are not connected yet.
-    rest = cut(differences(first))
-    if rest.isEmpty():
-        return found
-    known = rest.join(labels, "node")
+    rest, n_rest = counted(differences(first))
+    if not n_rest:
+        return found, n_star
+    known = fitted(rest.join(labels, "node"), n_rest)
     leads = known.groupBy("key").agg(F.max(F.struct("rank", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key", "lead")
-    star = known.join(leads, "key").filter((F.col("label") != F.col("lead.label")) & comparable("n", "lead.rank.n")).select("node", F.col("lead.rank.node").alias("pivot")).distinct()
-    second = cut(compared(star.withColumn("wide", F.lit(False)), texts)).filter("linked").select("node", "pivot")
-    labels = relabelled(labels, second)
+    leads, n_leads = counted(leads)
+    star = fitted(known.join(leads, "key").filter((F.col("label") != F.col("lead.label")) & comparable("n", "lead.rank.n")), n_rest).select("node", F.col("lead.rank.node").alias("pivot")).distinct()
+    star, n_star_2 = counted(star.withColumn("wide", F.lit(False)))
+    second = fitted(cut(compared(star, n_star_2, texts).filter("linked").select("node", "pivot")), n_star_2)
+    labels = relabelled(labels, n_nodes, second, n_star_2)
 
     # What is not connected after that with each other.
-    known = rest.join(labels.select("node", "label"), "node").join(leads.select("key", F.col("lead.rank.node").alias("lead")), "key").filter("node != lead").drop("lead")
+    known = fitted(rest.join(labels.select("node", "label"), "node"), n_rest).join(leads.select("key", F.col("lead.rank.node").alias("lead")), "key").filter("node != lead").drop("lead")
     mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("open")).filter("low != high and open").select("key")
-    known = cut(known.join(mixed, "key"))
+    known, n_known = counted(known.join(fitted(mixed, n_leads), "key"))
     x, y = (known.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "most", "open", "label"))) for end in "xy")
     pairs = x.filter("open_x").join(y, (x.key == y.key) & F.expr("label_x != label_y and n_y <= most_x and n_x <= most_y and not (open_y and node_y > node_x)")).filter(comparable("n_x", "n_y"))
-    pairs = pairs.select(F.col("node_x").alias("node"), F.col("node_y").alias("pivot")).distinct()
-    third = cut(compared(pairs.withColumn("wide", F.lit(False)), texts)).filter("linked").select("node", "pivot")
-    return found.unionByName(second).unionByName(third)
+    pairs, n_pairs = counted(pairs.select(F.col("node_x").alias("node"), F.col("node_y").alias("pivot")).distinct().withColumn("wide", F.lit(False)))
+    third = fitted(cut(compared(pairs, n_pairs, texts).filter("linked").select("node", "pivot")), n_pairs)
+    return found.unionByName(second).unionByName(third), n_star + n_star_2 + n_pairs
 
 
-def components(found: DataFrame) -> DataFrame:
-    """(node, label) of all linked nodes: labels fall to the smallest of the neighbours and of the label's label until nothing changes."""
+def components(found: DataFrame, n: int) -> DataFrame:
+    """(node, label) of all nodes of n links: labels fall to the smallest of the neighbours and of the label's label until nothing changes."""
     found = found.toDF("a", "b")
-    edges = cut(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    edges, n = counted(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = fitted(cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))), n)
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = fitted(fitted(edges.join(labels, edges.b == labels.node), n).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")), n)
+        stepped = fitted(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), n)
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(stepped.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")))
+        new = fitted(cut(stepped.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label"))), n)
         labels = new.select("node", "label")
         if new.filter("label != was").isEmpty():
             return labels
@@ -277,7 +281,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(id, node, class_id) of every row."""
     rows = cut(keys(docs))
     reps = cut(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("listed").alias("listed")))
-    labels = components(links(docs, reps))
+    labels = components(*links(docs, reps))
     of_text = reps.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_text.groupBy("label").agg(F.min("rep").alias("class_id"))
     of_text = of_text.join(smallest, "label").select("node", "class_id")
