@@ -278,25 +278,27 @@ def components(found: DataFrame, n: int) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(id, node, class_id) of every row."""
+    """(id, node, class_id, class) of every row; `class` tells classes apart that have one doc_id as their smallest."""
     rows = cut(keys(docs))
     reps = cut(rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("listed").alias("listed")))
     labels = components(*links(docs, reps))
     of_text = reps.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_text.groupBy("label").agg(F.min("rep").alias("class_id"))
-    of_text = of_text.join(smallest, "label").select("node", "class_id")
-    return rows.select("id", "node").join(of_text, "node", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"))
+    of_text = of_text.join(smallest, "label").select("node", "class_id", "label")
+    alone = F.concat_ws(" ", "node", F.col("id").cast("string"))
+    return rows.select("id", "node").join(of_text, "node", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("label", alone).alias("class"))
 
 
 def kept(rows: DataFrame) -> DataFrame:
     """(id, node, times) of the one document of each class that stays, and how many equal rows it stands in."""
-    return rows.filter("id = class_id").groupBy("class_id", "node").agg(F.count("*").alias("times")).groupBy("class_id").agg(F.min(F.struct("node", "times")).alias("one")).select(F.col("class_id").alias("id"), "one.node", "one.times")
+    same = rows.filter("id = class_id").groupBy("class", "id", "node").agg(F.count("*").alias("times"))
+    return same.groupBy("class").agg(F.min(F.struct("node", "id", "times")).alias("one")).select("one.id", "one.node", "one.times")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and whether the row is the one of its class that stays."""
     none = F.lit((1 << 63) - 1)
-    rows = cut(classes(docs.select("doc_id", "text")).groupBy("id", "node", "class_id").agg(F.count("*").alias("times")))
+    rows = cut(classes(docs.select("doc_id", "text")).groupBy("id", "node", "class_id", "class").agg(F.count("*").alias("times")))
     stays = kept(rows).select("id", "node", F.lit(True).alias("stays"))
     each = rows.join(stays, ["id", "node"], "left").select("*", F.explode(F.expr("sequence(1, times)")).alias("copy"))
     return each.select(F.when(F.col("id") != none, F.col("id")).alias("doc_id"), F.when(F.col("class_id") != none, F.col("class_id")).alias("class_id"), (F.col("stays").isNotNull() & (F.col("copy") == 1)).alias("kept"))
