@@ -1,8 +1,8 @@
 """Chat formatting in token-budgeted windows, in DataFrame functions only.
 
 Running sums of turn tokens cut a conversation at turn boundaries. A window holds the turns whose first token falls
-into one stride of that sum; a turn longer than a stride stands alone, so nothing is cut and only such a turn can
-pass the budget. Each window repeats the conversation's first system turn and a limited number of tokens of the
+into one stride of that sum; a turn longer than a stride stands alone, so nothing is cut, and only such a turn, or a
+system turn that leaves no room, can pass the budget. Each window repeats the conversation's first system turn and a limited number of tokens of the
 turns before it; the loss mask covers the texts of assistant turns once, in the window where they are new.
 
 Rendered turns are marked by control strings; a control string inside a text gets one more backslash after its first

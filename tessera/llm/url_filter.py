@@ -194,16 +194,19 @@ def candidates(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     return rows.withColumn("keys", F.expr(f"if(host = '', cast(array() as array<string>), concat({ordered}, array(host)))"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, block_words: list[str] = BLOCK_WORDS) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, block_words: list[str] = BLOCK_WORDS, hosts: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, the longest rule that fits, and the verdict: the rule's, else block for listed hosts.
 
-    Listed are the rules and those hosts of the corpus that contain a block word.
+    Listed are the rules, those hosts of the corpus that contain a block word, and those that stand in a list of any size (hosts, a column `host`).
     """
     rows = candidates(pages, rules)
     universe = cut(rows.select(F.explode("keys").alias("key")).distinct())
     spec = universe.sparkSession.createDataFrame([(r,) for r in sorted(rules)], "key string")
     words = "|".join(block_words)
     listed = cut(universe.filter(~F.contains("key", F.lit("/")) & F.col("key").rlike(words)).unionByName(spec))
+    if hosts is not None:
+        named = universe.join(hosts.select(F.lower("host").alias("key")).filter("key is not null"), "key", "left_semi")
+        listed = cut(listed.unionByName(named).distinct())
     filters, shards = build(listed, universe)
     found = member(rows, "keys", filters, shards).withColumn("hits", F.expr("filter(keys, (k, i) -> listed[i])"))
     found = found.withColumn("rule", F.expr("get(filter(hits, k -> contains(k, '/')), 0)"))
