@@ -359,6 +359,10 @@ def test_url_filter_edges(spark):
     assert got[5] == ("notexample.org", "/es/", "org/", "allow") and got[6] == ("org", "", None, "allow") and got[7] == ("com", "/fr/", "com/fr/", "allow")
     assert got[8] == ("spam.net", "", None, "block") and got[9][3] == "block"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    pages = spark.createDataFrame([(k, f"http://h{k % 300}.net/") for k in range(600)] * 2, "page_id long, url string")
+    listed = spark.createDataFrame([(f"H{k}.net",) for k in range(0, 400, 2)] + [(None,)], "host string")
+    verdicts = url_filter.judge(pages, hosts=listed).collect()
+    assert len(verdicts) == 1200 and all((r.verdict == "block") == (r.page_id % 300 % 2 == 0) for r in verdicts)
 
 
 def test_cascade_is_exact(spark):
