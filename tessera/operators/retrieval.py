@@ -335,13 +335,20 @@ SELECT item_id, source, doc_id, rank, stub FROM w WHERE k = 1"""
 
 
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's terms as one phrase, next to each other; candidates hold its first and its last pair of terms."""
+    """Documents that hold an item's terms as one phrase, next to each other; candidates hold its first four terms."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    pairs = lambda t: F.expr(f"transform(sequence(1, greatest(size({t}) - 1, 1)), i -> concat_ws(' ', slice({t}, i, 2)))")
-    asked = items.select("item_id", terms(F.col("text")).alias("t")).filter("size(t) > 0").select("item_id", F.array_join("t", " ").alias("phrase"), F.get(pairs("t"), F.lit(0)).alias("pair"), "t")
-    asked = asked.select("item_id", "phrase", F.when(F.size("t") > 1, F.col("pair")).otherwise(F.col("phrase")).alias("pair"))
-    held = docs.select("doc_id", terms(F.col("text")).alias("t")).filter("size(t) > 0").select("doc_id", F.array_join("t", " ").alias("line"), F.explode(F.array_distinct(F.array_union(pairs("t"), "t"))).alias("pair"))
-    return held.join(small(cut(asked)), "pair").filter(F.expr("contains(concat(' ', line, ' '), concat(' ', phrase, ' '))")).select("item_id", "doc_id").distinct()
+    asked = items.select("item_id", terms(F.col("text")).alias("t")).filter("size(t) > 0").select("item_id", F.array_join("t", " ").alias("phrase"), F.least(F.size("t"), F.lit(4)).alias("n"), "t")
+    asked = cut(asked.select("item_id", "phrase", "n", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("gram")))
+    words = docs.select("doc_id", terms(F.col("text")).alias("t"))
+    near = None
+    for r in asked.select("n").distinct().collect():  # four lengths at the most
+        grams = F.expr(f"if(size(t) < {r.n}, array(), transform(sequence(1, size(t) - {r.n - 1}), i -> array_join(slice(t, i, {r.n}), ' ')))")
+        part = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(small(asked.filter(F.col("n") == r.n).select("gram", "item_id", "phrase")), "gram").select("doc_id", "item_id", "phrase")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return items.select("item_id").limit(0).crossJoin(docs.select("doc_id").limit(0))
+    lines = words.select("doc_id", F.array_join("t", " ").alias("line"))
+    return lines.join(small(cut(near)), "doc_id").filter(F.expr("contains(concat(' ', line, ' '), concat(' ', phrase, ' '))")).select("item_id", "doc_id").distinct()
 
 
 PHRASE_SQL = f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({TERMS_SQL}, ' ') || ' ' AS line FROM documents), i AS (SELECT item_id, ' ' || array_to_string({TERMS_SQL}, ' ') || ' ' AS phrase FROM benchmark)
