@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.checkpoints import cut, ensure_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,16 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; one of our own only where nothing is set, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from the files: a lost executor then costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    ensure_folder(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 #: Thin rows that one task takes without trouble.
@@ -36,10 +28,9 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """cut(df) of thin rows in as many partitions as they need, and their number, which writing them tells."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    n = seen.get["n"]
+    """cut(df) of thin rows in as many partitions as they need, and their number."""
+    out = cut(df)
+    n = out.count()
     return fitted(out, n), n
 
 

@@ -89,6 +89,37 @@ def test_suffix_array_dedup(docs, none):
     assert suffix_array_dedup.digest(none).count() == 0
 
 
+def test_repeats_of_given_documents(spark):
+    """Both kinds of repeats on the smallest tables."""
+    rows_ = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    d = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in suffix_array_dedup.digest(d).collect()) == brute_bytes(rows_)
+    assert Counter(tuple(r) for r in substring_dedup.digest(d).collect()) == brute_words(rows_)
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words, its near copy, and 300,000 bytes without white space."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(9)
+    long = " ".join(r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(200_000))
+    texts = [(1, long), (2, long.replace("alpha1", "omega ")), (3, "x9é" * 75_000), (4, "short")]
+    d = spark.createDataFrame([(*t, "en", "h", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x.doc_id: x.n_words for x in quality_rules.verdicts(d).collect()} == {i: len(WORD.findall(t)) for i, t in texts}
+    t = Tokenizer.from_file(Q.vocabulary())
+    assert {x.doc_id: x.n_tokens for x in bpe.digest(d, Q.vocabulary()).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts}
+    item = " ".join(long.split()[150_000:150_040])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(d, bench).collect()} >= {(1, 7)}
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(d, labels).count() == quality_grade.selected(d, labels).count() == 4
+    gone = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.digest(d).collect()}
+    assert gone[1] == (200_000, 0) and gone[2][1] > 100_000
+    conv = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long[:400_000])], "conv_id long, turn long, role string, text string")
+    assert chat.digest(conv).first().loss_chars == 400_000
+
+
 def bodies(raw: list[bytes], ids: list[int], anchor: int) -> repeats.Bodies:
     n = np.arange(len(raw))
     return repeats.Bodies(b"".join(raw), np.array([len(x) for x in raw]), np.ones(len(raw), dtype=np.uint64), np.full(len(raw), anchor), np.zeros(len(raw), dtype=bool), n, np.array(ids), n, n * 0)

@@ -82,6 +82,10 @@ def test_rows_without_id_and_repeats(spark):
     assert P.one_of_each(spark, d.unionByName(d), SF).count() == 4
 
 
+def test_run_gives_the_last_stage(spark):
+    assert P.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
