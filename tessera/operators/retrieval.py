@@ -85,28 +85,34 @@ def query_terms(items: DataFrame) -> DataFrame:
 QUERY_SQL = f"q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark)"
 
 
-def term_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, dl, term, tf, starts): how often each query term stands in each document, and how many words start with it; one row with an empty term for every document. Written once."""
-    wanted = small(queries.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string")))
-    words = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("word"))
-    heads = words.select("doc_id", "dl", "word", F.explode(F.expr("if(word = '', array(''), transform(sequence(1, char_length(word)), n -> substring(word, 1, n)))")).alias("term"))
-    found = heads.join(wanted, "term").filter((F.col("term") == F.col("word")) | recallable(F.col("term")))
-    return cut(found.groupBy("doc_id", "dl", "term").agg(F.count_if(F.col("term") == F.col("word")).alias("tf"), F.count("*").alias("starts")))
-
-
-def scored(hits: DataFrame, queries: DataFrame, count: str) -> DataFrame:
-    """(item_id, doc_id, score, n_terms): BM25 of the query terms that stand `count` times in documents; terms in over half of the documents weigh LEAST_IDF."""
+def term_hits(docs: DataFrame, queries: DataFrame, prefix: bool = False) -> DataFrame:
+    """(doc_id, dl, term, tf): how often each query term stands in each document, or how many words start with it; one row with an empty term for every document. Written once."""
+    wanted = queries.select("term").distinct()
+    sized = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
+    words = sized.select("doc_id", "dl", F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    if prefix:
+        # Words are cut to those lengths only that query terms have.
+        lengths = [r.n for r in wanted.select(F.char_length("term").alias("n")).distinct().orderBy("n").collect()]
+        heads = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("term"))
+        cuts = words.filter("term != ''").select("doc_id", "dl", F.explode(F.transform(heads, lambda n: F.substring("term", F.lit(1), n))).alias("term"))
+        words = cuts.unionByName(sized.select("doc_id", "dl", F.lit("").alias("term")))
+    found = words.join(small(cut(wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string")))), "term")
+    return cut(found.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+
+
+def scored(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score, n_terms): BM25 of the query terms that stand tf times in documents; terms in over half of the documents weigh LEAST_IDF."""
     stats = hits.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    held = hits.filter((F.col("term") != "") & (F.col(count) > 0))
+    held = hits.filter((F.col("term") != "") & (F.col("tf") > 0))
     df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weighed = queries.join(df, "term").select("item_id", "term", idf.alias("idf"), "mean")
-    w = F.col("idf") * F.col(count) * (K1 + 1) / (F.col(count) + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return held.join(small(cut(weighed)), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(w), 9).alias("score"), F.count("*").alias("n_terms"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    return scored(term_hits(docs, queries), queries, "tf")
+    return scored(term_hits(docs, queries), queries)
 
 
 def score_sql(count: str, hits: str, name: str) -> str:
@@ -141,15 +147,18 @@ def keyword_stages(docs: DataFrame, items: DataFrame) -> DataFrame:
     queries = cut(query_terms(items))
     size = queries.groupBy("item_id").agg(F.count("*").alias("n"))
     hits = term_hits(docs, queries)
-    precise = cut(scored(hits, queries, "tf").join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "item_id").filter("n_terms = n").select("item_id", "doc_id", F.lit(STAGES[0]).alias("stage"), "score"))
-    open_ = queries.join(precise.select("item_id").distinct(), "item_id", "left_anti")
-    prefix = cut(scored(hits, open_.filter(recallable(F.col("term"))), "starts").select("item_id", "doc_id", F.lit(STAGES[1]).alias("stage"), "score"))
+    precise = cut(scored(hits, queries).join(F.broadcast(size) if size.count() <= MOST_BROADCAST else size, "item_id").filter("n_terms = n").select("item_id", "doc_id", F.lit(STAGES[0]).alias("stage"), "score"))
+    open_ = cut(queries.join(precise.select("item_id").distinct(), "item_id", "left_anti"))
+    if open_.isEmpty():
+        return precise
+    recalled = open_.filter(recallable(F.col("term")))
+    prefix = cut(scored(term_hits(docs, recalled, prefix=True), recalled).select("item_id", "doc_id", F.lit(STAGES[1]).alias("stage"), "score"))
     open_ = cut(open_.join(prefix.select("item_id").distinct(), "item_id", "left_anti"))
     found = precise.unionByName(prefix)
     if open_.isEmpty():
         return found
     totals = docs.select(F.size(han_tokens(F.coalesce("text", F.lit("")))).alias("dl")).select(F.lit(None).cast("long").alias("doc_id"), "dl", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
-    pairs = cut(scored(cut(han_hits(docs, open_).unionByName(totals)), open_, "tf").select("item_id", "doc_id", F.lit(STAGES[2]).alias("stage"), "score"))
+    pairs = cut(scored(cut(han_hits(docs, open_).unionByName(totals)), open_).select("item_id", "doc_id", F.lit(STAGES[2]).alias("stage"), "score"))
     open_ = open_.join(pairs.select("item_id").distinct(), "item_id", "left_anti").filter(recallable(F.col("term")))
     inside = docs.join(small(cut(open_)), F.expr("contains(lower(text), term)")).select("item_id", "doc_id").distinct()
     return found.unionByName(pairs).unionByName(inside.select("item_id", "doc_id", F.lit(STAGES[3]).alias("stage"), F.lit(0.0).alias("score")))
