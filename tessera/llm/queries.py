@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontaminate, near_dup, quality_grade, quality_rules, substring_dedup, suffix_array_dedup, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, filter_audit, hard_negatives, line_dedup, near_dup, quality_grade, quality_rules, substring_dedup, suffix_array_dedup, toxicity, url_filter
 from tessera.llm.frames import table
 
 
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,10 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_suffix_array": op9_suffix_array,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_windows": chat.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op5_url_cascade": url_filter.ORACLE,
     "op8_host_rules": quality_rules.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
