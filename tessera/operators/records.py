@@ -18,10 +18,11 @@ TASKS = """tasks AS (SELECT o_orderkey AS id, concat('order ', o_orderpriority,
 RUNS = """runs AS (SELECT event_id AS id, user_id AS agent, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' WHEN 'click' THEN 'running' ELSE 'interrupted' END AS status, value AS cost, ts FROM {events})"""
 SESSIONS = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM {conversations}),
 sessions AS (SELECT conv_id AS session_id, max(CASE WHEN role = 'user' AND r = 1 THEN text END) AS preview, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN '<system> set up' ELSE concat('talk ', conv_id) END AS title, count(*) AS n_messages, max(turn) AS updated FROM turns GROUP BY conv_id)"""
-MEMORIES = """memories AS (SELECT conv_id * 100 + turn AS id, role AS store, concat('p', conv_id % 7) AS namespace, text AS content, (conv_id * 7 + turn) % 11 AS access_count, conv_id AS session_id,
-  CASE WHEN turn > 0 AND turn % 2 = 0 THEN conv_id * 100 + turn - 1 END AS supersedes, turn % 5 = 4 AS deleted FROM {conversations})"""
+MEMORIES = """memories AS (SELECT conv_id * 1000000 + turn AS id, role AS store, concat('p', conv_id % 7) AS namespace, text AS content, (conv_id * 7 + turn) % 11 AS access_count, conv_id AS session_id,
+  CASE WHEN turn > 0 AND turn % 2 = 0 THEN conv_id * 1000000 + turn - 1 END AS supersedes, turn % 5 = 4 AS deleted FROM {conversations})"""
 ENTITIES = """names AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE concat(' ', p_name) END AS name, CASE WHEN p_size > 25 THEN p_type END AS kind, CASE WHEN p_size % 3 = 0 THEN p_brand END AS summary FROM {part})"""
-CURRENT = """current AS (SELECT * FROM (SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at, lead(l_shipdate) OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_shipdate, l_orderkey * 8 + l_linenumber) AS invalid_at FROM {lineitem}) x WHERE invalid_at IS NULL)"""
+CURRENT = """current AS (SELECT * FROM (SELECT concat_ws('-', l_suppkey, l_returnflag, l_partkey, row_number() OVER pair) AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at, lead(l_shipdate) OVER pair AS invalid_at FROM {lineitem}
+  WINDOW pair AS (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus)) x WHERE invalid_at IS NULL)"""
 
 # Tasks, runs, agents
 
@@ -51,16 +52,16 @@ query("session_tombstones", f"""WITH {SESSIONS}, archived AS (SELECT DISTINCT co
 SELECT s.session_id, n_messages, a.session_id IS NOT NULL AS archived FROM sessions s LEFT JOIN archived a ON s.session_id = a.session_id WHERE NOT EXISTS (SELECT 1 FROM deleted d WHERE d.session_id = s.session_id)""", "A new index leaves out deleted sessions and keeps the mark of archived ones: both keys live in tables of their own.")
 query("session_lookup", f"""WITH {SESSIONS}, asked AS (SELECT doc_id AS session_id FROM {{documents}} WHERE doc_id % 20 = 0) SELECT a.session_id, CASE WHEN s.session_id IS NULL THEN 'missing' WHEN preview IS NULL THEN 'empty' ELSE 'found' END AS state FROM asked a LEFT JOIN sessions s ON a.session_id = s.session_id""", "Whether sessions that are asked for are found, empty or missing.")
 query("session_history", f"""WITH {SESSIONS}, chats AS (SELECT event_id AS chat_id, user_id AS session_id, ts FROM {{events}}) SELECT chat_id, chats.session_id, coalesce(n_messages, 0) AS n_messages, title FROM chats LEFT JOIN sessions ON chats.session_id = sessions.session_id""", "Chats with the message counts and titles of their sessions.")
-query("episodes", "SELECT md5(text) AS content_hash, min(conv_id * 100 + turn) AS episode_id, count(*) AS n_writes FROM {conversations} GROUP BY md5(text)", "An episode is its content: a second write gives the first one's id.")
+query("episodes", "SELECT md5(text) AS content_hash, min(conv_id * 1000000 + turn) AS episode_id, count(*) AS n_writes FROM {conversations} GROUP BY md5(text)", "An episode is its content: a second write gives the first one's id.")
 query("voided_episodes", f"""WITH {RUNS} SELECT id, CASE WHEN status = 'failed' THEN 'run_turn_failed' ELSE 'run_turn' END AS kind, CASE WHEN status = 'failed' THEN 'write failed' END AS reason FROM runs""", "Episodes of failed writes are relabelled; doing it again changes nothing.")
-query("session_memories", f"""WITH {MEMORIES}, episodes AS (SELECT DISTINCT conv_id AS session_id, conv_id * 100 AS episode_id FROM {{conversations}} WHERE conv_id % 4 = 0) SELECT m.session_id, episode_id, m.id, store FROM memories m JOIN episodes e ON m.session_id = e.session_id WHERE NOT deleted""", "Current memories that were distilled from a session.")
+query("session_memories", f"""WITH {MEMORIES}, episodes AS (SELECT DISTINCT conv_id AS session_id, conv_id * 1000000 AS episode_id FROM {{conversations}} WHERE conv_id % 4 = 0) SELECT m.session_id, episode_id, m.id, store FROM memories m JOIN episodes e ON m.session_id = e.session_id WHERE NOT deleted""", "Current memories that were distilled from a session.")
 
 # Memories
 
 query("memory_rows", f"WITH {MEMORIES} SELECT id, store, namespace, content FROM memories WHERE (CAST(NULL AS STRING) IS NULL OR store = CAST(NULL AS STRING)) AND ('p3' IS NULL OR namespace = 'p3') ORDER BY id DESC LIMIT 200".replace("STRING", "VARCHAR(9)"), "Rows under optional filters: one is not asked for, the other is.")
 query("scope_rows", f"WITH {MEMORIES} SELECT id, content FROM memories WHERE store = 'user' AND namespace = 'p2' AND NOT deleted", "Ids and contents of one scope.")
 query("memory_points", f"WITH {MEMORIES}, asked AS (SELECT doc_id * 5 AS id FROM {{documents}} WHERE doc_id % 20 = 0) SELECT asked.id, store, content FROM asked LEFT JOIN memories ON asked.id = memories.id", "Rows by their ids; an id that is not there gives nulls.")
-query("usage_recorded", f"""WITH {MEMORIES}, uses AS (SELECT user_id * 100 + event_id % 4 AS id, count(*) AS n, max(ts) AS last_used_at FROM {{events}} GROUP BY user_id * 100 + event_id % 4) SELECT memories.id, access_count + coalesce(n, 0) AS access_count, last_used_at FROM memories LEFT JOIN uses ON memories.id = uses.id""", "Access counts and last use after a batch of uses.")
+query("usage_recorded", f"""WITH {MEMORIES}, uses AS (SELECT user_id * 1000000 + event_id % 4 AS id, count(*) AS n, max(ts) AS last_used_at FROM {{events}} GROUP BY user_id * 1000000 + event_id % 4) SELECT memories.id, access_count + coalesce(n, 0) AS access_count, last_used_at FROM memories LEFT JOIN uses ON memories.id = uses.id""", "Access counts and last use after a batch of uses.")
 query("deleted_and_purged", f"""WITH {MEMORIES}, purged AS (SELECT id FROM memories WHERE deleted AND id % 3 = 0), restored AS (SELECT id FROM memories WHERE deleted AND id % 3 = 1)
 SELECT m.id, m.deleted AND r.id IS NULL AS deleted, CASE WHEN p.id IS NULL THEN m.supersedes END AS supersedes FROM memories m LEFT JOIN restored r ON m.id = r.id LEFT JOIN purged p ON m.supersedes = p.id WHERE NOT EXISTS (SELECT 1 FROM purged q WHERE q.id = m.id)""", "Some tombstones are lifted, some rows purged for good; a reference to a purged row becomes null.")
 query("prefix_migration", f"""WITH {MEMORIES}, old AS (SELECT id, CASE WHEN id % 3 = 0 THEN concat('[distilled] ', content) ELSE content END AS content FROM memories) SELECT id, md5(CASE WHEN content LIKE '[distilled] %' THEN substr(content, 13) ELSE content END) AS h, content LIKE '[distilled] %' AS migrated FROM old""", "The old prefix goes where a row has it, and nothing else changes.")
@@ -93,10 +94,11 @@ query("resolved_entity_ids", f"""WITH {ENTITIES}, e AS (SELECT lower(trim(name))
 asked AS (SELECT p_partkey AS ask, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_brand, ' ', p_name) ELSE concat(p_name, '?') END AS name FROM {{part}}) SELECT ask, coalesce(e.id, al.id) AS entity_id, CASE WHEN e.id IS NOT NULL THEN 'name' WHEN al.id IS NOT NULL THEN 'alias' END AS found_by FROM asked LEFT JOIN e ON lower(trim(name)) = norm_name LEFT JOIN al ON lower(trim(name)) = norm_alias""", "Ids of names, by the normalised name, else by an alias.")
 query("fact_upsert", """WITH fam(relation, family) AS (VALUES ('drives_model', 'model_inference'), ('runs_model', 'model_inference'), ('powers', 'model_inference'), ('powered_by', 'model_inference'), ('integrates_runtime', 'runtime_integration'), ('orchestrates', 'runtime_integration'), ('supports', 'runtime_integration'),
   ('uses_model_for_permission_gatekeeping', 'permission_gatekeeper'), ('uses_as_permission_gatekeeper', 'permission_gatekeeper'), ('uses_for_permission_gatekeeping', 'permission_gatekeeper'), ('hosts', 'permission_gatekeeper'), ('uses_protocol', 'protocol_use'), ('uses', 'protocol_use')),
-f AS (SELECT l_orderkey * 8 + l_linenumber AS seq, l_suppkey AS src, l_partkey % 50 AS dst, md5(concat(l_returnflag, l_linestatus)) AS h, CASE l_linenumber WHEN 1 THEN 'powers' WHEN 2 THEN 'powered_by' WHEN 3 THEN 'supports' WHEN 4 THEN 'must_keep' WHEN 5 THEN 'likes' WHEN 6 THEN 'move_is_planned' ELSE 'uses' END AS relation FROM {lineitem}),
-k AS (SELECT f.*, coalesce(family, f.relation) AS family FROM f LEFT JOIN fam ON f.relation = fam.relation WHERE NOT (f.relation LIKE 'must\\_%' OR f.relation LIKE 'should\\_%' OR f.relation LIKE 'never\\_%' OR f.relation LIKE 'planned\\_%' OR f.relation LIKE '%\\_is\\_planned')),
-o AS (SELECT k.*, min(seq) OVER (PARTITION BY least(src, dst), greatest(src, dst), family) AS first_seq, first_value(relation) OVER (PARTITION BY least(src, dst), greatest(src, dst), family ORDER BY seq) AS first_relation, lag(h) OVER (PARTITION BY src, dst, relation ORDER BY seq) AS last_h FROM k)
-SELECT seq, CASE WHEN seq = first_seq THEN 'written' WHEN relation <> first_relation THEN 'duplicate of the family' WHEN h = last_h THEN 'restated' ELSE 'supersedes' END AS outcome FROM o UNION ALL SELECT seq, 'refused, no relation' FROM f WHERE relation IN ('must_keep', 'move_is_planned')""".replace("LIKE 'must\\_%'", "LIKE 'must#_%' ESCAPE '#'").replace("LIKE 'should\\_%'", "LIKE 'should#_%' ESCAPE '#'").replace("LIKE 'never\\_%'", "LIKE 'never#_%' ESCAPE '#'").replace("LIKE 'planned\\_%'", "LIKE 'planned#_%' ESCAPE '#'").replace("LIKE '%\\_is\\_planned'", "LIKE '%#_is#_planned' ESCAPE '#'"), "Facts in order: no relation at all is refused; of one pair and family, either way round, the first spelling stays; the same name supersedes unless it says the same.")
+f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS src, l_partkey % 50 AS dst, l_shipdate, md5(concat(l_returnflag, l_linestatus)) AS h, CASE l_linenumber WHEN 1 THEN 'powers' WHEN 2 THEN 'powered_by' WHEN 3 THEN 'supports' WHEN 4 THEN 'must_keep' WHEN 5 THEN 'likes' WHEN 6 THEN 'move_is_planned' ELSE 'uses' END AS relation FROM {lineitem}),
+k AS (SELECT f.*, family FROM f LEFT JOIN fam ON f.relation = fam.relation WHERE NOT (f.relation LIKE 'must#_%' ESCAPE '#' OR f.relation LIKE 'should#_%' ESCAPE '#' OR f.relation LIKE 'never#_%' ESCAPE '#' OR f.relation LIKE 'planned#_%' ESCAPE '#' OR f.relation LIKE '%#_is#_planned' ESCAPE '#')),
+o AS (SELECT k.*, first_value(relation) OVER (PARTITION BY src, dst, family ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, h) AS first_relation, lag(h) OVER (PARTITION BY src, dst, relation ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, h) AS last_h FROM k)
+SELECT l_orderkey, l_linenumber, l_partkey, src, l_shipdate, CASE WHEN family IS NOT NULL AND relation <> first_relation THEN 'duplicate of the family' WHEN last_h IS NULL THEN 'written' WHEN family IS NOT NULL AND h = last_h THEN 'restated' ELSE 'supersedes' END AS outcome FROM o
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, src, l_shipdate, 'refused, no relation' FROM f WHERE relation IN ('must_keep', 'move_is_planned')""", "Facts in the order of their dates: no relation at all is refused; of one pair and family the first spelling stays; the same name supersedes, unless it belongs to a family and says the same.")
 query("fact_counts", f"WITH {CURRENT} SELECT s_suppkey AS entity, (SELECT count(*) FROM current WHERE src = s_suppkey) AS n_facts FROM {{supplier}}", "Current facts of each entity: a correlated count, which the planner turns into one aggregate and a join.")
 query("entity_delete", f"""WITH {CURRENT}, gone AS (SELECT s_suppkey AS id FROM {{supplier}} WHERE s_suppkey % 20 = 0) SELECT gone.id, count(edge_id) AS n_edges, count(DISTINCT dst) AS n_neighbours FROM gone LEFT JOIN current ON src = gone.id GROUP BY gone.id""", "What goes with each deleted entity.")
 query("after_entity_delete", f"""WITH {CURRENT} SELECT relation, count(*) AS n FROM current WHERE NOT EXISTS (SELECT 1 FROM {{supplier}} WHERE s_suppkey = src AND s_suppkey % 20 = 0) GROUP BY relation""", "Facts that stay when entities are deleted.")

@@ -42,11 +42,11 @@ def facts_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).filter((F.col("valid_at") <= t) & (F.col("invalid_at").isNull() | (t < F.col("invalid_at")))).select("edge_id", "src", "dst", "relation")
 
 
-@query(f"WITH {FACTS_SQL} SELECT n AS supplier, count(*) AS n_facts FROM (SELECT src AS n FROM facts WHERE invalid_at IS NULL UNION ALL SELECT dst FROM facts WHERE invalid_at IS NULL) GROUP BY n")
+@query(f"WITH {FACTS_SQL}, now AS (SELECT * FROM facts WHERE invalid_at IS NULL) SELECT entity, count(*) AS n_facts FROM (SELECT 's' || src AS entity FROM now UNION ALL SELECT 'p' || dst FROM now) GROUP BY entity")
 def incident_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current facts of an entity at either end, by one row for each end instead of an OR join."""
-    now = facts(spark, sf_dir).filter("invalid_at is null").select(F.explode(F.array("src", "dst")).alias("supplier"))
-    return now.groupBy("supplier").agg(F.count("*").alias("n_facts"))
+    """Current facts of an entity at either end, by one row for each end instead of an OR join; suppliers and parts are told apart."""
+    now = facts(spark, sf_dir).filter("invalid_at is null").select(F.explode(F.array(F.concat(F.lit("s"), "src"), F.concat(F.lit("p"), "dst"))).alias("entity"))
+    return now.groupBy("entity").agg(F.count("*").alias("n_facts"))
 
 
 def visible_to(namespace: Column, viewer: str) -> Column:
@@ -231,9 +231,9 @@ def newest_turns_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("bytes <= 2000").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.max("bytes").alias("bytes"))
 
 
-@query("SELECT role, min(conv_id * 100 + turn) AS first_id, md5(text) AS h FROM conversations GROUP BY role, md5(text)")
+@query("SELECT role, min(conv_id * 1000000 + turn) AS first_id, md5(text) AS h FROM conversations GROUP BY role, md5(text)")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role", F.md5("text").alias("h")).agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("first_id")).select("role", "first_id", "h")
+    return table(spark, sf_dir, "conversations").groupBy("role", F.md5("text").alias("h")).agg(F.min(F.col("conv_id") * 1000000 + F.col("turn")).alias("first_id")).select("role", "first_id", "h")
 
 
 @query(f"WITH {RUNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY created_at DESC, run_id DESC) AS k FROM runs) SELECT agent, run_id, status FROM r WHERE k = 1 AND status <> 'click'")

@@ -194,7 +194,7 @@ def parsed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("source", F.col("conv_id").alias("session_id"), "project").agg(F.count("*").alias("n_messages"), F.min("at").alias("started"), F.max("at").alias("updated"), F.substring(collapsed(first), 1, 80).alias("preview"))
 
 
-portable("foreign_sessions", """WITH message AS (SELECT conv_id * 100 + turn AS message_id, conv_id AS session_id, role, turn AS created FROM {conversations}), part AS (SELECT conv_id * 100 + turn AS message_id, 0 AS part_no, 'text' AS type, text FROM {conversations} UNION ALL SELECT conv_id * 100 + turn, 1, 'tool', 'call' FROM {conversations} WHERE turn % 2 = 1)
+portable("foreign_sessions", """WITH message AS (SELECT conv_id * 1000000 + turn AS message_id, conv_id AS session_id, role, turn AS created FROM {conversations}), part AS (SELECT conv_id * 1000000 + turn AS message_id, 0 AS part_no, 'text' AS type, text FROM {conversations} UNION ALL SELECT conv_id * 1000000 + turn, 1, 'tool', 'call' FROM {conversations} WHERE turn % 2 = 1)
 SELECT session_id, m.message_id, role, row_number() OVER (PARTITION BY session_id ORDER BY created, part_no) - 1 AS place, md5(text) AS h FROM message m JOIN part p ON m.message_id = p.message_id WHERE type = 'text' AND session_id % 2 = 0""".replace("row_number() OVER (PARTITION BY session_id ORDER BY created, part_no) - 1", "CAST(row_number() OVER (PARTITION BY session_id ORDER BY created, part_no) - 1 AS BIGINT)"), "Text parts of another store's messages, in the order of time.")
 
 

@@ -20,16 +20,23 @@ RUNS_SQL = "runs AS (SELECT event_id AS run_id, user_id AS agent, event_type AS
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as bi-temporal facts: supplier -supplies-> part, valid from the ship date until the next one of the same pair."""
+    """Order lines as bi-temporal facts: supplier -supplies-> part, valid from the ship date until the next one of the same pair.
+
+    edge_id names supplier, relation, part and the fact's place among theirs, so no two facts share one; facts of one pair that
+    agree in date, order and line are placed by their other columns.
+    """
     from pyspark.sql.window import Window as W
 
-    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_shipdate").alias("valid_at"), F.when(F.col("l_linestatus") == "F", "extracted").otherwise("recorded").alias("event_time_source"))
-    by_pair = W.partitionBy("src", "dst", "relation").orderBy("valid_at", "edge_id")
-    return line.withColumn("invalid_at", F.lead("valid_at").over(by_pair))
+    line = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_suppkey": "src", "l_partkey": "dst", "l_returnflag": "relation", "l_shipdate": "valid_at"})
+    by_pair = W.partitionBy("src", "dst", "relation").orderBy("valid_at", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    place = F.row_number().over(by_pair)
+    source = F.when(F.col("l_linestatus") == "F", "extracted").otherwise("recorded")
+    return line.select(F.concat_ws("-", "src", "relation", "dst", place).alias("edge_id"), "src", "dst", "relation", "valid_at", source.alias("event_time_source"), F.lead("valid_at").over(by_pair).alias("invalid_at"))
 
 
-FACTS_SQL = """line AS (SELECT l_orderkey * 8 + l_linenumber AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at, CASE WHEN l_linestatus = 'F' THEN 'extracted' ELSE 'recorded' END AS event_time_source FROM lineitem),
-facts AS (SELECT *, lead(valid_at) OVER (PARTITION BY src, dst, relation ORDER BY valid_at, edge_id) AS invalid_at FROM line)"""
+FACTS_SQL = """facts AS (SELECT concat_ws('-', l_suppkey, l_returnflag, l_partkey, row_number() OVER pair) AS edge_id, l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_shipdate AS valid_at,
+  CASE WHEN l_linestatus = 'F' THEN 'extracted' ELSE 'recorded' END AS event_time_source, lead(l_shipdate) OVER pair AS invalid_at FROM lineitem
+  WINDOW pair AS (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus))"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as memories: id, store by role, namespace by conversation, content, access count and last use."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("memory_id"),
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("memory_id"),
         F.when(F.col("role") == "user", "observation").when(F.col("role") == "assistant", "procedure").otherwise("profile").alias("store"),
         F.when(F.col("conv_id") % 3 == 0, F.lit("global")).when(F.col("conv_id") % 3 == 1, F.lit("user")).otherwise(F.concat(F.lit("project:p"), F.col("conv_id") % 7)).alias("namespace"),
         F.col("text").alias("content"),
@@ -55,6 +62,6 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MEMORIES_SQL = """memories AS (SELECT conv_id * 100 + turn AS memory_id, CASE role WHEN 'user' THEN 'observation' WHEN 'assistant' THEN 'procedure' ELSE 'profile' END AS store,
+MEMORIES_SQL = """memories AS (SELECT conv_id * 1000000 + turn AS memory_id, CASE role WHEN 'user' THEN 'observation' WHEN 'assistant' THEN 'procedure' ELSE 'profile' END AS store,
   CASE conv_id % 3 WHEN 0 THEN 'global' WHEN 1 THEN 'user' ELSE 'project:p' || (conv_id % 7) END AS namespace, text AS content,
   (conv_id * 7 + turn) % 11 AS access_count, ((conv_id + turn * 13) % 90)::DOUBLE AS idle_days FROM conversations)"""

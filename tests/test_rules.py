@@ -290,3 +290,12 @@ def test_hashes(spark):
     got = df.select(embedder(8)(F.col("t")).alias("v"), fact_hash("t").alias("h")).collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-6 and not any(got[1].v) and not any(got[2].v)
     assert got[0].h == f"{int(fnv1a([b'a b b'])[0]):016x}"
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_keys_are_keys(spark, sf):
+    from tessera.sources.tables import facts, memories
+
+    for rows_, key in ((facts, "edge_id"), (memories, "memory_id")):
+        ids = rows_(spark, f"/root/testdata/sf{sf}").select(key)
+        assert ids.count() == ids.distinct().count() > 0
