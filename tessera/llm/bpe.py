@@ -29,6 +29,9 @@ FRAGMENT = 2048
 #: The pre-tokenizer that a byte-level BPE file with "use_regex" stands for: a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as the pre-tokenizer knows it, in runs that its splitter cannot take.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 
 def byte_of_char() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256 on."""
@@ -89,9 +92,21 @@ class ForcedBoundaryCodec:
 
     def _fragment(self, raw: bytes) -> list[int]:
         if self.split is None or not any(k in raw for k in self.added):
-            return self.bpe.encode_ordinary(raw.decode())
+            return self._plain(raw.decode())
         parts = self.split.split(raw)
-        return [i for p in parts for i in ([self.added[p]] if p in self.added else self.bpe.encode_ordinary(p.decode()))]
+        return [i for p in parts for i in ([self.added[p]] if p in self.added else self._plain(p.decode()))]
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens. A run of white space is a piece of its own but for its last character, which the next piece may begin with; long runs are so cut off before the splitter."""
+        if len(text) < 10_000:
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.bpe.encode_ordinary(text[at : run.start()])
+            out += self.bpe._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.bpe.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         return self.bpe.decode_bytes(ids).decode("utf-8", errors="replace")
