@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.checkpoints import cut, ensure_folder
@@ -46,6 +46,24 @@ def unshield(docs: DataFrame, names: list[str], *more: str) -> DataFrame:
     return docs.select(*(F.col("_rest").getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in names if c not in more), *more)
 
 
-def doc_key(doc_id: str = "doc_id", text: str = "text") -> list:
-    """Two columns that tell rows apart even where doc_id repeats or is null: the id (null: the largest) and a text hash."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("key_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("key_text")]
+def text_hash(seed: int, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), text)
+
+
+def doc_keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with two longs that tell rows of different ids or texts apart: key_id, the id (null: the largest), and key_text.
+
+    Where no id comes twice key_text is 0. Else it is a hash of the text for which a digest of 256 bits has shown that no two
+    different texts of one id share it; if some do, the next seed is tried.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.withColumn("key_id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)))
+    if docs.groupBy("key_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("key_text", F.lit(0).cast("long"))
+    seed = 0
+    while True:
+        out = docs.withColumn("key_text", text_hash(seed, body))
+        digests = out.select("key_id", "key_text", F.sha2(body, 256).alias("digest")).groupBy("key_id", "key_text").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+        if digests.filter("a != b").isEmpty():
+            return out
+        seed += 1

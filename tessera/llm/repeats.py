@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import cut, doc_key
+from tessera.llm.frames import cut, doc_keyed
 from tessera.llm.text import Rolling, mix, sliding_min, slices, spread, words
 
 #: Bytes of text in a slice, of bodies in a bucket, and of packed payloads that the second exchange takes at once.
@@ -93,14 +93,14 @@ class Bodies:
 
     def pack(self, with_key: bool = True) -> bytes:
         docs, doc = np.unique(np.stack((self.id, self.hash), axis=1), axis=0, return_inverse=True)
-        return pickle.dumps((self.text, thin(self.size), self.key if with_key else None, thin(self.anchor), np.packbits(self.twice), thin(self.body), thin(docs[:, 0]), docs[:, 1].astype(np.int32), thin(doc.ravel()), thin(self.place)), protocol=5)
+        return pickle.dumps((self.text, thin(self.size), self.key if with_key else None, thin(self.anchor), np.packbits(self.twice), thin(self.body), thin(docs[:, 0]), thin(docs[:, 1]), thin(doc.ravel()), thin(self.place)), protocol=5)
 
     @staticmethod
     def unpack(raw: bytes) -> Bodies:
         text, size, key, anchor, twice, body, ids, hashes, doc, place = pickle.loads(raw)  # noqa: S301
         doc, size = thick(doc), thick(size)
         key = np.zeros(len(size), dtype=np.uint64) if key is None else key
-        return Bodies(text, size, key, thick(anchor), np.unpackbits(twice, count=len(size)).astype(bool), thick(body), thick(ids)[doc], hashes.astype(np.int64)[doc], thick(place))
+        return Bodies(text, size, key, thick(anchor), np.unpackbits(twice, count=len(size)).astype(bool), thick(body), thick(ids)[doc], thick(hashes)[doc], thick(place))
 
     @staticmethod
     def joined(parts: list[Bodies]) -> Bodies:
@@ -379,7 +379,7 @@ def spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
 
 def with_spans(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """All rows and columns of docs, with key_id, key_text and gone (null: nothing goes)."""
-    keyed = docs.select("*", *doc_key())
+    keyed = doc_keyed(docs)
     return keyed.join(spans(keyed.select("text", "key_id", "key_text"), kind, solve), ["key_id", "key_text"], "left")
 
 

@@ -219,3 +219,30 @@ def test_bounds_hold(seed):
     lower, upper = hard_negatives.bounds(a, x.min(axis=0)[None, :], x.max(axis=0)[None, :])
     scores = hard_negatives.products(a, x)
     assert (lower[:, 0] <= scores.min(axis=1)).all() and (scores.max(axis=1) <= upper[:, 0]).all()
+
+
+def test_texts_without_ids_stay_apart(spark, monkeypatch):
+    """Different texts of one id, or of none, never get one another's ranges, even where their hashes are equal."""
+    from tests.llm.test_operators import brute_bytes, brute_words, text
+
+    from tessera.llm import frames, substring_dedup, suffix_array_dedup
+
+    monkeypatch.setattr(frames, "text_hash", lambda seed, body, real=frames.text_hash: F.pmod(real(seed, body), F.lit(2)) if seed < 2 else real(seed, body))
+    shared = text(120)
+    texts = [(None, shared), (None, text(150)), (None, shared + " " + text(40)), (7, shared), (7, text(130)), (7, "x" * 900), (8, text(30) + " " + shared), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in suffix_array_dedup.digest(docs).collect()) == brute_bytes(texts)
+    assert Counter(tuple(r) for r in substring_dedup.digest(docs).collect()) == brute_words(texts)
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "日", "a", "　"])
+def test_runs_that_no_splitter_takes(run):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import ForcedBoundaryCodec
+
+    vocabulary = Q.vocabulary()
+    for t in ("a" + run * 2_000_000 + "b", run * 20_000, "a" + run * 20_000 + " <|endoftext|>" + run * 20_000 + "7"):
+        data = np.frombuffer(t.encode(), dtype=np.uint8)
+        ids, _ = ForcedBoundaryCodec(vocabulary).encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == Tokenizer.from_file(vocabulary).encode(t, add_special_tokens=False).ids
