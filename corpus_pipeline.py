@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, near_dup, quality_rules, substring_dedup
-from tessera.llm.frames import cut, shared_folder, table
+from tessera.llm.frames import cut, shared_folder, shield, table, unshield
 from tessera.llm.queries import vocabulary
 
 #: Up to so many leaked rows (about 50 bytes each) are broadcast; more are joined by a shuffle.
@@ -45,11 +45,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold question and answer of a test item go; rows are told apart by id and text, so a row without id goes, too, and others of a shared id stay."""
-    marked = docs.withColumn("_row", F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    marked = shield(docs, "doc_id", "text").withColumn("row", row)
     items = decontaminate.split_answer(table(spark, sf_dir, "benchmark"))
-    leaked = cut(decontaminate.leaks(marked, items, key="_row").filter("leaked").select("_row").distinct())
+    leaked = cut(decontaminate.leaks(marked.select("row", "text"), items, key="row").filter("leaked").select("row").distinct())
     few = leaked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return marked.join(F.broadcast(leaked) if few else leaked, "_row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return unshield(marked.join(F.broadcast(leaked) if few else leaked, "row", "left_anti"), docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,13 +73,13 @@ def drop(spark: SparkSession, folder: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what a stage has read is deleted once its own rows are written."""
+    """The rows of the last stage. What a stage has read is deleted once its own rows are written, but for the cleaned documents that the last stage reads."""
     docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
+        if before and name != STAGES[-1][0]:
             drop(spark, before)
         before = f"{folder}/{name}"
     return docs
