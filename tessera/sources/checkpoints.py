@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and go on from the files."""
     ensure_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like cut(), as a Parquet table with a size of its own: for loops of many joins, as a checkpoint hands on the estimated size, which joins multiply until planning takes longer than running."""
+    spark = df.sparkSession
+    ensure_folder(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

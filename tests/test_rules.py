@@ -10,7 +10,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import components, local_moving, propagated, retrieve, split
+from tessera.operators.communities import by_community, levels, modularity
+from tessera.operators.graph import components, retrieve
 from tessera.operators.memory import decided, difference, judge, judged, lcs_rows, overlap, packed
 from tessera.operators.relational import optional, visible_to
 from tessera.functions.text import han_tokens
@@ -273,13 +274,43 @@ def test_components_and_communities(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert {got[k] for k in range(1, 21)} == {1} and got[31] == 30
     two = [(f"{g}{i}", f"{g}{j}") for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0")]
-    d = spark.createDataFrame([*two, ("z1", "z2")], "a string, b string")
-    labels = components(d)
-    for found in (split(d), propagated(d, labels, 20)):
-        by = {r.node: r.community for r in found.collect()}
-        assert {by[f"{g}{i}"] for g in "xy" for i in range(5)} == {"x0", "y0"} and by["x3"] == "x0" and by["y3"] == "y0"
-    found = local_moving(pd.DataFrame(two, columns=["a", "b"]))
-    assert found.groupby(found["node"].str[0])["community"].nunique().tolist() == [1, 1] and found["community"].nunique() == 2
+    found = levels(spark.createDataFrame([*two, ("z1", "z2")], "a string, b string"), 12, 1)
+    by = {r.node: r.community for r in found.filter("level = 0").collect()}
+    assert {by[f"x{k}"] for k in range(1, 5)}.isdisjoint({by[f"y{k}"] for k in range(1, 5)}) and by["z2"] == by["z1"] == "z1"
+
+
+@pytest.mark.parametrize("n, groups, parts", [(60, 4, 1), (200, 8, 5)])
+def test_levels_against_brute_force(spark, n, groups, parts):
+    """Every level is a partition whose communities lie in one of the next, modularity as counted by hand never falls, and planted groups are found."""
+    r = random.Random(n)
+    links = {(min(a, b), max(a, b)) for a in range(n) for b in r.sample(range(n), 14) if a != b and (a % groups == b % groups or r.random() < 0.02)} | {(n + k, n + k + 1) for k in range(3)}
+    df = spark.createDataFrame([*links, (5, 5), *list(links)[:9]], "a long, b long").repartition(parts)
+    frame = levels(df)
+    found = [(x.level, x.node, x.component, x.community, x.parent, x.k, x.k_in) for x in frame.collect()]
+    degree = {v: sum(v in e for e in links) for e in links for v in e}
+    top, last = max(x[0] for x in found), -1.0
+    qs = {x.level: x.q for x in modularity(frame).collect()}
+    for level in range(top + 1):
+        own = {x[1]: x for x in found if x[0] == level}
+        assert set(own) == set(degree) and all(x[5] == degree[v] for v, x in own.items())
+        assert all(x[6] == sum(own[b][3] == x[3] for a, b in [*links, *((b, a) for a, b in links)] if a == v) for v, x in own.items())
+        groups_of = {}
+        for v, x in own.items():
+            groups_of.setdefault(x[3], set()).add(v)
+        assert all(min(c) == k for k, c in groups_of.items())
+        q = 0.0
+        for c in groups_of.values():
+            m2 = sum(degree[v] for v in own if own[v][2] == own[min(c)][2])
+            q += sum(own[v][6] for v in c) - sum(degree[v] for v in c) ** 2 / m2
+        assert q >= last - 1e-6 and abs(q - qs[level]) < 1e-4
+        last = q
+        if level < top:
+            assert all(x[4] == next(y[3] for y in found if y[0] == level + 1 and y[1] == v) for v, x in own.items())
+    assert {x[3] for x in found if x[1] >= n} == {n}
+    best = [x for x in found if x[0] == top and x[1] < n]
+    pure = sum(max(sum(y[1] % groups == g for y in best if y[3] == c) for g in range(groups)) for c in {x[3] for x in best})
+    assert pure > 0.8 * len(best)
+    assert by_community(frame).agg(F.sum("n_nodes")).first()[0] == len(found)
 
 
 def test_hashes(spark):
