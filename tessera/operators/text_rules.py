@@ -253,11 +253,3 @@ def _candidates_sql() -> str:
 def memory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all conversations, each turn led by a sample sentence."""
     return candidates(sampled_turns(spark, sf_dir))
-
-
-@query("""WITH s AS (SELECT conv_id, turn, strlen(text) + 2 AS n, (sum(strlen(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e FROM conversations) SELECT conv_id, ((e - n) // 4096)::BIGINT AS pack, min(turn) AS first_turn, count(*) AS n_turns, sum(n)::BIGINT AS bytes FROM s GROUP BY ALL""")
-def turn_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns packed by the running byte count of their conversation."""
-    n = F.octet_length("text") + 2
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"), F.sum(n).over(W.partitionBy("conv_id").orderBy("turn")).alias("e"))
-    return s.groupBy("conv_id", F.floor((F.col("e") - F.col("n")) / 4096).alias("pack")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sum("n").cast("long").alias("bytes"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.operators import communities, entities, extraction, graph, memory, notes, records, relational, retrieval, text_rules, wiki
+from tessera.operators import communities, entities, extraction, graph, memory, notes, records, relational, retrieval, text_rules, wiki, windows
 from tessera.sources import ingest
 from tessera.streaming import events
 
-_PARTS = (communities, retrieval, relational, records, memory, graph, entities, extraction, notes, ingest, text_rules, wiki, events)
+_PARTS = (communities, retrieval, relational, records, memory, graph, entities, extraction, notes, ingest, text_rules, wiki, windows, events)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_retrieval"

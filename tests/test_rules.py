@@ -330,3 +330,44 @@ def test_keys_are_keys(spark, sf):
     for rows_, key in ((facts, "edge_id"), (memories, "memory_id")):
         ids = rows_(spark, f"/root/testdata/sf{sf}").select(key)
         assert ids.count() == ids.distinct().count() > 0
+
+
+def greedy(sizes, budget):
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        more = held + n + (2 if held else 0)
+        if i > start and more > budget:
+            start, more = i, n
+            out.append(i)
+        held = more
+    return [0, *out]
+
+
+@pytest.mark.parametrize("budget", [1, 50, 200, 10_000])
+def test_turn_windows(spark, budget):
+    """Equal to packing turn by turn: empty conversations of one turn, turns beyond the budget, long conversations, repeated sizes."""
+    from tessera.operators.windows import windows
+
+    r = random.Random(budget)
+    convs = {c: [r.choice([1, 7, 48, 49, 50, 51, 199, 300]) for _ in range(n)] for c, n in enumerate([1, 2, 3, 40, 700])}
+    df = spark.createDataFrame([(c, 3 * k, n) for c, sizes in convs.items() for k, n in enumerate(sizes)], "conv long, turn long, bytes long").repartition(5)
+    got = {}
+    for x in windows(df, budget).collect():
+        got.setdefault(x.conv, {}).setdefault(x.window, []).append(x.turn // 3)
+    for c, sizes in convs.items():
+        begins = greedy(sizes, budget)
+        assert [sorted(v) for _, v in sorted(got[c].items())] == [list(range(a, b)) for a, b in zip(begins, [*begins[1:], len(sizes)], strict=True)]
+        assert all(len(v) == 1 or sum(sizes[k] for k in v) + 2 * (len(v) - 1) <= budget for v in got[c].values())
+
+
+def test_answers_are_read_tolerantly(spark):
+    from tessera.operators.windows import parsed
+
+    cases = {
+        'Sure:\n```json\n{"candidates": [{"store": "profile", "content": "a } b", "confidence": 0.9}], "relations": []}\n```': ("parsed", ["a } b"]),
+        '{"candidates": [{"content": "x"}]}': ("parsed", ["x"]), "{}": ("parsed", None), "nothing": ("no json", None), "": ("no json", None), None: ("no json", None),
+        '{"candidates": [{"content": "cut': ("no closing brace", None), '{"candidates": [{"content": "cut"}': ("malformed", None), '{"candidates": "text"}': ("parsed", None), "} {": ("no closing brace", None), "{}, {}": ("malformed", None), "{} ] [ {}": ("malformed", None), "{} and {}": ("malformed", None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {x.raw: (x.p.status, [c.content for c in x.p.value.candidates] if x.p.value and x.p.value.candidates else None) for x in df.select("raw", parsed(F.col("raw")).alias("p")).collect()}
+    assert got == cases
