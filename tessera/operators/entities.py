@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions.text import TERMS_SQL, terms
+from tessera.operators.containment import contained
 from tessera.operators.retrieval import recallable, small
 from tessera.plans.query import registry
 from tessera.sources.checkpoints import cut
@@ -127,12 +128,11 @@ def seeds(asked: DataFrame, entities: DataFrame, aliases: DataFrame, cap: int =
     names = entities.select("id", F.lower(F.trim("name")).alias("norm"))
     heads = lambda c: F.flatten(F.transform(terms(F.col(c)), lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda k: F.substring(w, F.lit(1), k))))
     probes = small(cut(each.filter(recallable(F.col("term")))))
-    # A text contains a name only if it contains the name's first term as a whole word or as a part of one: names are joined on text, few texts against all names.
     floor = (F.char_length("norm") >= LEAST_NAME) | ~F.col("norm").rlike(r"^[\x00-\x7F]*$")
     legs = {
         "exact_name": t.join(names, t.low == names.norm).select("query", "id"),
         "alias": t.select("query", F.explode(F.array_union(F.array("low"), "terms")).alias("probe")).join(aliases.select("id", F.lower(F.trim("alias")).alias("probe")), "probe").select("query", "id"),
-        "name_token": entities.select("id", F.explode(F.array_distinct(heads("name"))).alias("term")).join(probes, "term").select("query", "id").unionByName(names.filter(floor).join(small(t), F.expr("contains(low, norm)")).select("query", "id")),
+        "name_token": entities.select("id", F.explode(F.array_distinct(heads("name"))).alias("term")).join(probes, "term").select("query", "id").unionByName(contained(t.select("query", F.col("low").alias("text")), names.filter(floor).select("id", F.col("norm").alias("name")))),
         "summary": entities.filter("summary is not null").select("id", F.explode(F.array_distinct(heads("summary"))).alias("term")).join(probes, "term").select("query", "id"),
     }
     found = None

@@ -371,3 +371,24 @@ def test_answers_are_read_tolerantly(spark):
     df = spark.createDataFrame([(k,) for k in cases], "raw string")
     got = {x.raw: (x.p.status, [c.content for c in x.p.value.candidates] if x.p.value and x.p.value.candidates else None) for x in df.select("raw", parsed(F.col("raw")).alias("p")).collect()}
     assert got == cases
+
+
+@pytest.mark.parametrize("whole, low", [(False, False), (True, False), (False, True), (True, True)])
+def test_names_in_texts(spark, monkeypatch, whole, low):
+    """Equal to looking for every name in every text, also in many blocks and slices; names inside names, shared names, Han, empty and null ones."""
+    from tessera.operators import containment
+
+    if low:
+        monkeypatch.setattr(containment, "NAME_BYTES", 8)
+        monkeypatch.setattr(containment, "TEXT_BYTES", 40)
+    names = [(1, "red"), (2, "red car"), (3, "car"), (4, "red"), (5, "数据"), (6, ""), (7, None), (8, "a"), (9, "C++"), (10, "aa")]
+    texts = [(1, "a red car"), (2, "redcar, car"), (3, "大数据库"), (4, None), (5, ""), (6, "aaa c++ C++"), (7, "scared"), (8, "red"), (8, "红 red-car 数据")]
+    edge = lambda c: c.isalnum()
+    want = set()
+    for q, t in texts:
+        for i, n in names:
+            at = [k for k in range(len(t)) if t.startswith(n, k)] if t and n else []
+            if any(not whole or not (edge(t[k - 1 : k]) or edge(t[k + len(n) : k + len(n) + 1])) for k in at):
+                want.add((q, i))
+    found = containment.contained(spark.createDataFrame(texts, "query long, text string"), spark.createDataFrame(names, "id long, name string"), whole).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
