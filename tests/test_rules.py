@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.communities import by_community, levels, modularity
 from tessera.operators.graph import components, retrieve
-from tessera.operators.memory import decided, difference, judge, judged, lcs_rows, overlap, packed
+from tessera.operators.memory import IGNORABLE, decided, difference, judge, judged, only_ignorable, overlap, packed
 from tessera.operators.relational import optional, visible_to
 from tessera.functions.text import han_tokens
 from tessera.operators import extraction
@@ -141,16 +141,38 @@ def test_common_subsequences(x, y):
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             d[i][j] = d[i + 1][j + 1] + 1 if x[i] == y[j] else max(d[i + 1][j], d[i][j + 1])
-    i = j = 0
-    out = ""
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            i, j = i + 1, j + 1
-        elif d[i + 1][j] >= d[i][j + 1]:
-            out, i = out + x[i], i + 1
+    out, j, shared = "", 0, ""
+    for i, c in enumerate(x):
+        if y[j : j + 1] == c or d[i][j] > d[i + 1][j]:
+            j, shared = y.index(c, j) + 1, shared + c
         else:
-            j += 1
-    assert overlap(x, y) == d[0][0] and difference(x, y, lcs_rows(x, y)) == out + x[i:]
+            out += c
+    assert overlap(x, y) == d[0][0] == len(shared) and difference(x, y) == out
+    left = iter(y)
+    assert all(c in left for c in shared)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("anduserthe我们", max_size=20))
+def test_ignorable_words(text):
+    """As taking out each word's first occurrence until there is none, one word after the other."""
+    rest = text
+    for w in IGNORABLE:
+        while (at := rest.find(w)) >= 0:
+            rest = rest[:at] + rest[at + len(w) :]
+    assert only_ignorable(text) == (rest == "")
+
+
+def test_difference_of_long_texts():
+    """A quarter of a million characters, of which a few rows are kept at a time."""
+    import tracemalloc
+
+    x = "".join(f"{k * 7919 % 100003} " for k in range(50_000))
+    x, y = x[:250_000], x[:100_000] + "new" + x[100_400:250_000]
+    tracemalloc.start()
+    assert len(difference(y, x)) >= 3 and len(difference(x, y)) >= 400
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
 
 
 def test_merge_decisions(spark):
