@@ -1,12 +1,15 @@
 """Which of many names stand in which of many texts: an Aho-Corasick automaton for each block of names, run over slices of the texts.
 
-Names are dealt to blocks of about NAME_BYTES and texts to slices of about TEXT_BYTES, both by hash; a block and a slice
-meet in one task, which reads every text once for all names of its block. Nothing is collected, and no pair of a text
+Up to NAME_BYTES of names, which are counted first, go to every task, and the texts are read where they are. Beyond that names are dealt to
+blocks of about NAME_BYTES and texts to slices of about TEXT_BYTES, both by hash; a block and a slice
+meet in one task, which reads every text once for all names of its block. No pair of a text
 and a name is looked at that does not hold it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,43 +28,63 @@ def parts(df: DataFrame, column: str, most: int) -> int:
     return max(1, -(-(df.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0) // most))
 
 
+class Finder:
+    """The automaton of names (id, name)."""
+
+    def __init__(self, known: pa.Table) -> None:
+        import ahocorasick
+
+        self.automaton, self.ids = ahocorasick.Automaton(), {}
+        for i, name in zip(known.column("id").to_pylist(), known.column("name").to_pylist(), strict=True):
+            self.ids.setdefault(name, []).append(i)
+        for name in self.ids:
+            self.automaton.add_word(name, name)
+        self.automaton.make_automaton()
+
+    def pairs(self, seen: pa.Table, whole_words: bool) -> tuple[list, list]:
+        """Two columns, (query, id), of the texts of `seen` (query, text) and the names that stand in them."""
+        found_query: list = []
+        found_id: list = []
+        if not self.ids:
+            return found_query, found_id
+        for q, text in zip(seen.column("query").to_pylist(), seen.column("text").to_pylist(), strict=True):
+            first: dict[str, int] = {}
+            for end, name in self.automaton.iter(text):
+                first.setdefault(name, end + 1)
+            edge = lambda name, end: text[max(end - len(name) - 1, 0) : end - len(name)].isalnum() or text[end : end + 1].isalnum()  # noqa: B023, E731
+            hits = [name for name, end in first.items() if not whole_words or not edge(name, end)]
+            for name in hits:
+                found_id += self.ids[name]
+                found_query += [q] * len(self.ids[name])
+        return found_query, found_id
+
+
 def contained(texts: DataFrame, names: DataFrame, whole_words: bool = False) -> DataFrame:
     """(query, id) of texts (query, text) and names (id, name) that they contain, once each.
 
     whole_words: only if no letter or digit stands in front of the name's first occurrence or behind it. Empty and null names are in no text;
     names that several ids share count for all of them.
     """
-    blocks, slices = parts(names, "name", NAME_BYTES), parts(texts, "text", TEXT_BYTES)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = names.filter("name != ''").select("id", "name", number("name", blocks).alias("block"), every(slices).alias("slice"))
-    right = texts.filter("text is not null").select("query", "text", number("query", slices).alias("slice"), every(blocks).alias("block"))
     query, id_ = (pa.int64() if f.dataType.simpleString() == "bigint" else pa.string() for f in (texts.schema["query"], names.schema["id"]))
-
-    def search(known: pa.Table, seen: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        ids: dict[str, list] = {}
-        for i, name in zip(known.column("id").to_pylist(), known.column("name").to_pylist(), strict=True):
-            ids.setdefault(name, []).append(i)
-        found_query, found_id = [], []
-        if ids and seen.num_rows:
-            automaton = ahocorasick.Automaton()
-            for name in ids:
-                automaton.add_word(name, name)
-            automaton.make_automaton()
-            for q, text in zip(seen.column("query").to_pylist(), seen.column("text").to_pylist(), strict=True):
-                first: dict[str, int] = {}
-                for end, name in automaton.iter(text):
-                    first.setdefault(name, end + 1)
-                edge = lambda name, end: text[max(end - len(name) - 1, 0) : end - len(name)].isalnum() or text[end : end + 1].isalnum()  # noqa: B023, E731
-                hits = [name for name, end in first.items() if not whole_words or not edge(name, end)]
-                for name in hits:
-                    found_id += ids[name]
-                    found_query += [q] * len(ids[name])
-        return pa.table({"query": pa.array(found_query, query), "id": pa.array(found_id, id_)})
-
     schema = f"query {'bigint' if query == pa.int64() else 'string'}, id {'bigint' if id_ == pa.int64() else 'string'}"
+    left, right = names.filter("name != ''").select("id", "name"), texts.filter("text is not null").select("query", "text")
+    table_ = lambda found: pa.table({"query": pa.array(found[0], query), "id": pa.array(found[1], id_)})
+    size = left.agg(F.sum(F.octet_length("name") + F.octet_length(F.col("id").cast("string"))).alias("n")).first().n or 0
+    if size <= NAME_BYTES:
+        shared = names.sparkSession.sparkContext.broadcast(left.toArrow())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(shared.value)
+            for batch in batches:
+                yield from table_(finder.pairs(pa.Table.from_batches([batch]), whole_words)).to_batches()
+
+        return right.mapInArrow(scan, schema).distinct()
+    blocks, slices = -(-size // NAME_BYTES), parts(right, "text", TEXT_BYTES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = left.select("id", "name", number("name", blocks).alias("block"), every(slices).alias("slice"))
+    right = right.select("query", "text", number("query", slices).alias("slice"), every(blocks).alias("block"))
+    search = lambda known, seen: table_(Finder(known).pairs(seen, whole_words))
     return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(search, schema).distinct()
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from tessera.functions.hashing import embedder, fact_hash
 from tessera.functions.text import HAN, TERMS_SQL, han_tokens, rrf, terms
+from tessera.operators.containment import contained
 from tessera.sources.checkpoints import cut
 from tessera.sources.tables import table
 
@@ -159,9 +160,12 @@ def keyword_stages(docs: DataFrame, items: DataFrame) -> DataFrame:
         return found
     totals = docs.select(F.size(han_tokens(F.coalesce("text", F.lit("")))).alias("dl")).select(F.lit(None).cast("long").alias("doc_id"), "dl", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
     pairs = cut(scored(cut(han_hits(docs, open_).unionByName(totals)), open_).select("item_id", "doc_id", F.lit(STAGES[2]).alias("stage"), "score"))
-    open_ = open_.join(pairs.select("item_id").distinct(), "item_id", "left_anti").filter(recallable(F.col("term")))
-    inside = docs.join(small(cut(open_)), F.expr("contains(lower(text), term)")).select("item_id", "doc_id").distinct()
-    return found.unionByName(pairs).unionByName(inside.select("item_id", "doc_id", F.lit(STAGES[3]).alias("stage"), F.lit(0.0).alias("score")))
+    found = found.unionByName(pairs)
+    open_ = cut(open_.join(pairs.select("item_id").distinct(), "item_id", "left_anti").filter(recallable(F.col("term"))))
+    if open_.isEmpty():
+        return found
+    inside = contained(docs.select(F.col("doc_id").alias("query"), F.lower("text").alias("text")), open_.select(F.col("item_id").alias("id"), F.col("term").alias("name")))
+    return found.unionByName(inside.select(F.col("id").alias("item_id"), F.col("query").alias("doc_id"), F.lit(STAGES[3]).alias("stage"), F.lit(0.0).alias("score")))
 
 
 LADDER_SQL = f"""{BM25_SQL},
