@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessera.functions.times import INSTANT_SQL, SHAPE, instant, precision
 from tessera.plans.query import registry
 from tessera.sources.tables import FACTS_SQL, MEMORIES_SQL, RUNS_SQL, facts, memories, runs, table
 
@@ -286,3 +287,18 @@ def staged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planned_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = F.collect_set("l_suppkey"), F.collect_set("l_partkey")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(long(F.size(s)).alias("n_suppliers"), (F.size(s) == F.size(p)).alias("equal_size"))
+
+
+#: The times of events as different writers put them down; both engines read this.
+SAID_SQL = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN substr(cast(ts AS string), 1, 10) WHEN 1 THEN substr(cast(ts AS string), 1, 19) WHEN 2 THEN replace(substr(cast(ts AS string), 1, 19), ' ', 'T')
+  WHEN 3 THEN concat(replace(substr(cast(ts AS string), 1, 19), ' ', 'T'), '.', substr(cast(event_id + 100000 AS string), 2, 5)) WHEN 4 THEN concat(replace(substr(cast(ts AS string), 1, 19), ' ', 'T'), 'Z') WHEN 5 THEN concat(replace(substr(cast(ts AS string), 1, 19), ' ', 'T'), '.25+08:00')
+  WHEN 6 THEN concat('  ', substr(cast(ts AS string), 1, 19), '-03:30 ') ELSE CASE WHEN event_id % 16 = 7 THEN 'soon' ELSE concat(substr(cast(ts AS string), 1, 4), '-13-45') END END AS said FROM {events}"""
+
+
+@query(f"""WITH w AS ({SAID_SQL.format(events="events")}), t AS (SELECT event_id, {INSTANT_SQL} AS moment, CASE WHEN regexp_extract(trim(said), '{SHAPE}', 2) = '' THEN 'day' WHEN regexp_extract(trim(said), '{SHAPE}', 3) = '' THEN 'second' ELSE 'fraction' END AS exact FROM w)
+SELECT event_id, moment, CASE WHEN moment IS NOT NULL THEN exact END AS exact, moment <= TIMESTAMP '2024-01-15 00:00:00' AS known_then FROM t""")
+def text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events that were written in several ways as points in time, how exact they are, and which lie before a point in time that is text itself."""
+    w = spark.sql(SAID_SQL, events=table(spark, sf_dir, "events"))
+    at, then = instant(F.col("said")), instant(F.lit("2024-01-15T08:00:00+08:00"))
+    return w.select("event_id", at.cast("timestamp_ntz").alias("moment"), precision(F.col("said")).alias("exact"), (at <= then).alias("known_then"))
