@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.frames import shield, unshield
-from tessera.llm.repeats import Bodies, Kind, alone, gone_mask, with_spans
+from tessera.llm.repeats import Bodies, Kind, alone, expanded, gone_mask, with_spans
 
 WINDOW = 13
 KIND = Kind(by_words=True, length=WINDOW, gram=3, split=1, by_order=True, growth=3.6)
@@ -104,15 +104,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 rows = whole.slice(at, 512)
                 gone, texts, facts = rows.column("gone"), [], ([], [], [])
-                for k, text in enumerate(rows.column("text").to_pylist()):
-                    some = (text or "").encode().split()
+                for k, text in enumerate(expanded(rows.column("text"))):
+                    some = (text or b"").split()
                     mask = gone_mask(gone, k, len(some))
                     kept = some if mask is None else [w for w, g in zip(some, mask.tolist(), strict=True) if not g]
                     joined = b" ".join(kept)
-                    texts.append(text if mask is None else joined.decode())
+                    texts.append(text if mask is None else joined)
                     for f, x in zip(facts, (len(some), len(some) - len(kept), hashlib.sha256(joined).hexdigest()), strict=True):
                         f.append(x)
-                columns = [pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names]
+                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else rows.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(facts[0], pa.int64()), pa.array(facts[1], pa.int64()), pa.array(facts[2])], names=schema.names)
 
     return unshield(with_spans(docs, KIND, solve).select(*names, "gone").mapInArrow(run, schema), original, "n_words", "n_removed", "kept_sha256")
