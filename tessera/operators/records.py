@@ -1,17 +1,24 @@
 """Rows of tasks, runs, sessions, memories, entities and page builds: lookups, pages, upserts, cascades, ledgers.
 
 A change is a new snapshot: what is written is joined with what was there, and the result replaces it. All of these are
-plain relational plans, so they are given as SQL, once for both engines.
+plain relational plans, so they are given as SQL, once for both engines; an upsert of very many keys is dealt by hand.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tessera.plans.query import sql_query
+from tessera.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 query = sql_query(QUERIES, ORACLE_SQL)
 
+#: Written edges that a task folds.
+TASK_EDGES = 1_000_000
+
 TASKS = """tasks AS (SELECT o_orderkey AS id, concat('order ', o_orderpriority, ' of ', o_custkey) AS title, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
   concat('Project', o_custkey % 7) AS project, CASE WHEN o_custkey % 11 = 0 THEN concat('agent', o_custkey % 5) END AS pinned_agent, o_orderdate AS created_at,
   CASE o_orderkey % 3 WHEN 1 THEN 'human' WHEN 2 THEN 'judge' END AS selected_by FROM {orders})"""
@@ -31,6 +38,22 @@ query("task_snapshot", f"""WITH {TASKS}, updates AS (SELECT l_orderkey AS id, CA
 SELECT tasks.id, coalesce(updates.status, tasks.status) AS status, selected_run, coalesce(selected_by, 'human') AS selected_by FROM tasks LEFT JOIN updates ON tasks.id = updates.id""", "Status and selected run after the newest update; who selected is a person where nothing is noted.")
 query("task_edge_upsert", """WITH have AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM {lineitem} WHERE l_linenumber <= 3), new AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM {lineitem} WHERE l_linenumber >= 3)
 SELECT src, dst, 'kept' AS op FROM have UNION ALL SELECT src, dst, 'inserted' FROM new n WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.src = n.src AND h.dst = n.dst)""", "Edges are inserted once, however often they are written.")
+
+
+def task_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges are inserted once, however often they are written: one exchange of all writes, in as many parts as they need, and one fold of each edge.
+
+    An edge with a null end equals no other, so it is inserted again.
+    """
+    writes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
+    parts = max(spark.sparkContext.defaultParallelism, -(-writes.count() // TASK_EDGES))
+    edge = writes.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.coalesce(F.bool_or(F.col("l_linenumber") <= 3), F.lit(False)).alias("have"), F.coalesce(F.bool_or(F.col("l_linenumber") >= 3), F.lit(False)).alias("new"))
+    inserted = F.col("new") & (~F.col("have") | F.col("src").isNull() | F.col("dst").isNull())
+    return edge.select("src", "dst", F.explode(F.array_compact(F.array(F.when(F.col("have"), "kept"), F.when(inserted, "inserted")))).alias("op"))
+
+
+QUERIES["task_edge_upsert"] = task_edge_upsert
+
 query("run_outcomes", f"WITH {RUNS} SELECT id, status, status IN ('completed', 'failed', 'cancelled', 'interrupted') AS terminal, status NOT IN ('completed', 'failed', 'cancelled', 'interrupted') AS active, status IN ('failed', 'interrupted', 'cancelled') AS retryable FROM runs", "Predicates of run statuses.")
 query("runs_with_agents", f"""WITH {RUNS}, agents AS (SELECT c_custkey AS agent, c_name AS name, c_mktsegment AS harness FROM {{customer}})
 SELECT agents.agent, name, harness, count(*) AS n_runs, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS n_completed, sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS n_failed, round(coalesce(sum(cost), 0), 4) AS cost, max(ts) AS last_at
