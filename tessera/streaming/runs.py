@@ -34,8 +34,8 @@ QUERIES, ORACLE_SQL, query = registry()
 IDLE = 3_600_000_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOSED = "key string, opened bigint, closed bigint, status string, n bigint, rejected bigint"
-STATE = "opened bigint, last bigint, status string, n bigint, rejected bigint"
-EVENT = "at bigint, event_id bigint, status string"
+#: The state of a key in one value, as every call to the store costs more than its rows: the run (null: none), what waits, and the time (milliseconds) of the timer.
+STATE = "opened bigint, last bigint, status string, n bigint, rejected bigint, ats array<bigint>, ids array<bigint>, statuses array<string>, due bigint"
 
 
 def stepped(run: tuple | None, at: int, status: str | None, legal: dict[str, list[str]]) -> tuple:
@@ -55,42 +55,37 @@ class Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", STATE)
-        self.waiting = handle.getListState("waiting", EVENT)
-        self.due = handle.getValueState("due", "ms bigint")
+        self.state = handle.getValueState("state", STATE)
 
-    def advanced(self, key: tuple, fresh: list[tuple], watermark: int) -> Iterator:
+    def advanced(self, key: tuple, fresh: list[tuple], watermark: int, expired: bool = False) -> Iterator:
         """Take what the watermark (milliseconds) has passed, close the run if it is over, and wait for the next time at which something is due."""
         import pandas as pd
 
         now, out = watermark * 1000, []
-        run = tuple(self.run.get()) if self.run.exists() else None
-        events = sorted([*(tuple(e) for e in self.waiting.get()), *fresh], key=lambda e: (e[0], e[1] is not None, e[1] or 0))
+        held = self.state.get()
+        run = tuple(held[:5]) if held is not None and held[0] is not None else None
+        waiting = zip(*held[5:8], strict=True) if held is not None else ()
+        before = held[8] if held is not None and not expired else None
+        events = sorted([*waiting, *fresh], key=lambda e: (e[0], e[1] is not None, e[1] or 0))
         passed = sum(e[0] <= now for e in events)
         for at, _, status in [*events[:passed], (now, None, None)]:
             if run is not None and at - run[1] >= self.idle:
-                opened, last, held, n, rejected = run
-                out.append((key[0], opened, last + self.idle, held, n, rejected))
+                opened, last, kept, n, rejected = run
+                out.append((key[0], opened, last + self.idle, kept, n, rejected))
                 run = None
             if passed > 0:
                 run, passed = stepped(run, at, status, self.legal), passed - 1
         events = [e for e in events if e[0] > now]
-        if run is None:
-            self.run.clear()
-        else:
-            self.run.update(run)
-        if events:
-            self.waiting.put(events)
-        else:
-            self.waiting.clear()
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
         times = [e[0] for e in events[:1]] + ([run[1] + self.idle] if run is not None else [])
-        if times:
-            due = -(-min(times) // 1000)
+        due = -(-min(times) // 1000) if times else None
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is not None and before != due:
             self.handle.registerTimer(due)
-            self.due.update((due,))
+        if times:
+            self.state.update((*(run or (None,) * 5), *([e[c] for e in events] for c in range(3)), due))
+        elif held is not None:
+            self.state.clear()
         if out:
             yield pd.DataFrame(out, columns=["key", "opened", "closed", "status", "n", "rejected"])
 
@@ -102,8 +97,7 @@ class Machine(StatefulProcessor):
         yield from self.advanced(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
-        self.due.clear()
-        yield from self.advanced(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self.advanced(key, [], timerValues.getCurrentWatermarkInMs(), expired=True)
 
     def close(self) -> None:
         pass
