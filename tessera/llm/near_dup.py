@@ -12,8 +12,9 @@ Equal texts are folded into one before anything else. A candidate group is not e
 compared with one pivot. Two texts of the group that are both linked with the pivot are in one class; any other pair is
 found by what parts it from the pivot: with shingles that the pivot lacks put first, similar texts must share one of
 their first shingles (the prefix filter again, at places that their lengths allow), and shingles that the pivot lacks are
-rare in a group however large it is. Texts that share such a shingle are compared with one of them, and those that are
-not connected after that with each other. So no link is left out but between texts that are connected anyway. Classes
+rare in a group however large it is. Texts that share such a shingle are compared with one of them. Those that are not
+connected after that go on with another pivot and with what parts them from that one, as long as this halves the pairs
+that are left; the last ones are compared with each other. So no link is left out but between texts that are connected anyway. Classes
 are the connected components of the links.
 
 Defined results: documents without words are alone; a text of fewer than five words is one shingle; a class is named
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frames import counted, cut, fitted, shield, unshield
 from tessera.llm.text import Rolling, mix, slices, words
+from tessera.sources.checkpoints import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,6 +45,8 @@ SHORT = 30
 LISTED = int(SHORT / SIMILARITY)
 #: Nodes that one copy of their pivot's text serves.
 SHARE = 256
+#: Open texts of a group that are compared with all others of it one by one.
+FEW = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +211,7 @@ def relabelled(labels: DataFrame, nodes: int, found: DataFrame, n: int) -> DataF
         near = fitted(ends.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot"), 2 * n)
         best = fitted(near.groupBy("node").agg(F.max("label").alias("best")), 2 * n)
         labels = fitted(labels.join(best, "node", "left").select("node", "rank", F.greatest("label", F.coalesce("best", "label")).alias("label")), nodes)
-    return fitted(cut(labels), nodes)
+    return fitted(written(labels), nodes)
 
 
 def differences(first: DataFrame) -> DataFrame:
@@ -216,9 +220,19 @@ def differences(first: DataFrame) -> DataFrame:
     rows = wide.join(wide.filter("not linked").select("pivot").distinct(), "pivot", "left_semi")
     rows = rows.select("node", "pivot", "n", (~F.col("linked")).alias("open"), F.posexplode("first").alias("place", "shingle"))
     rows = rows.select(F.xxhash64("pivot", "shingle").alias("key"), "node", "n", "open", F.floor(F.expr(f"(n - place) * {(1 + SIMILARITY) / SIMILARITY} - n + 1e-6")).alias("most"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("times"), F.max(F.when(F.col("open"), F.col("most"))).alias("most_open"), F.min(F.when(F.col("open"), F.col("n"))).alias("least_open"))
-    # Only texts whose lengths fit an open one stay; nearly all shingles of the pivot itself go here.
-    return rows.join(shared.filter("times > 1 and most_open is not null"), "key").filter("n <= most_open and least_open <= most").select("key", "node", "n", "most", "open")
+    open_most, open_n = (F.when(F.col("open"), F.col(c)) for c in ("most", "n"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("times"), F.max(open_most).alias("most_open"), F.min(open_n).alias("least_open"), F.max("most").alias("most_any"), F.min("n").alias("least_any"))
+    # Only open texts whose lengths fit any, and others that fit an open one stay; nearly all shingles of the pivot itself go here.
+    fits = F.expr("n <= most_open and least_open <= most or open and n <= most_any and least_any <= most")
+    return rows.join(shared.filter("times > 1 and most_open is not null"), "key").filter(fits).select("key", "node", "n", "most", "open")
+
+
+def mixed(known: DataFrame, n: int) -> DataFrame:
+    """(key, node, rank, n, label, most, open) of the groups with several labels and an open text; groups of the same texts are one."""
+    same = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node")))
+    of = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("any"), same.alias("same")).filter("low != high and any").select("key", "same")
+    rows = fitted(known.join(fitted(of, n), "key"), n)
+    return fitted(rows.groupBy(F.col("same").alias("key"), "node").agg(*(F.first(c).alias(c) for c in ("rank", "n", "label")), *(F.max(c).alias(c) for c in ("most", "open"))), n)
 
 
 def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, int]:
@@ -251,15 +265,29 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, int]:
     second = fitted(cut(compared(star, n_star_2, texts).filter("linked").select("node", "pivot")), n_star_2)
     labels = relabelled(labels, n_nodes, second, n_star_2)
 
-    # What is not connected after that with each other.
-    known = fitted(rest.join(labels.select("node", "label"), "node"), n_rest).join(leads.select("key", F.col("lead.rank.node").alias("lead")), "key").filter("node != lead").drop("lead")
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("open")).filter("low != high and open").select("key")
-    known, n_known = counted(known.join(fitted(mixed, n_leads), "key"))
-    x, y = (known.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "most", "open", "label"))) for end in "xy")
-    pairs = x.filter("open_x").join(y, (x.key == y.key) & F.expr("label_x != label_y and n_y <= most_x and n_x <= most_y and not (open_y and node_y > node_x)")).filter(comparable("n_x", "n_y"))
-    pairs, n_pairs = counted(pairs.select(F.col("node_x").alias("node"), F.col("node_y").alias("pivot")).distinct().withColumn("wide", F.lit(False)))
-    third = fitted(cut(compared(pairs, n_pairs, texts).filter("linked").select("node", "pivot")), n_pairs)
-    return found.unionByName(second).unionByName(third), n_star + n_star_2 + n_pairs
+    # What is not connected after that: from one pivot to the next while that halves the pairs that are left, these pair by pair.
+    known = fitted(rest.join(labels, "node"), n_rest).join(leads.select("key", F.col("lead.rank.node").alias("lead")), "key").filter("node != lead").drop("lead")
+    found, n_found, before = found.unionByName(second), n_star + n_star_2, None
+    while True:
+        known, n_known = counted(mixed(known, n_rest))
+        if not n_known:
+            return found, n_found
+        sizes = fitted(known.groupBy("key").agg(F.sum(F.col("open").cast("long")).alias("opens"), F.count("*").alias("size"), F.max("rank").alias("lead")), n_known)
+        left = sizes.agg(F.sum(F.expr("opens * size")).alias("pairs")).first().pairs
+        by_pairs = left <= n_members or before is not None and 2 * left > before
+        known = fitted(known.join(sizes.select("key", "lead", (F.lit(by_pairs) | (F.col("opens") <= FEW)).alias("few")), "key"), n_known)
+        before = left
+        x, y = (known.filter("few").select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "most", "open", "label"))) for end in "xy")
+        pairs = x.filter("open_x").join(y, (x.key == y.key) & F.expr("label_x != label_y and n_y <= most_x and n_x <= most_y and not (open_y and node_y > node_x)")).filter(comparable("n_x", "n_y"))
+        pairs = fitted(pairs.select(F.col("node_x").alias("node"), F.col("node_y").alias("pivot"), F.lit(False).alias("wide")), n_known)
+        star = known.filter("not few and node != lead.node").select("node", F.col("lead.node").alias("pivot"), F.lit(True).alias("wide"))
+        both, n_both = counted(pairs.unionByName(star).groupBy("node", "pivot").agg(F.max("wide").alias("wide")))
+        first = written(compared(both, n_both, texts))
+        more = fitted(first.filter("linked").select("node", "pivot"), n_both)
+        found, n_found = found.unionByName(more), n_found + n_both
+        labels = relabelled(labels, n_nodes, more, n_both)
+        rest, n_rest = counted(differences(first))
+        known = fitted(rest.join(labels, "node"), n_rest)
 
 
 def components(found: DataFrame, n: int) -> DataFrame:

@@ -270,6 +270,39 @@ def test_large_groups_of_near_copies(spark):
     assert {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()} == want and 20 < len(set(want.values())) < len(want) - 60
 
 
+def test_unlinked_texts_of_a_group_are_not_all_paired(spark, monkeypatch):
+    """Texts that share a passage which their pivot lacks, but are no near copies: fewer comparisons than by pairs, the same classes."""
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    base = fresh(150)
+    stem = base[:112] + fresh(38)
+    texts = []
+    for _ in range(400):
+        k = r.randrange(0, 82)
+        texts.append(stem[:k] + fresh(30) + stem[k + 30 :])
+    for _ in range(150):
+        k = r.randrange(150)
+        texts.append(base[:k] + fresh(2) + base[k:])
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    n, compared = [], near_dup.compared
+    monkeypatch.setattr(near_dup, "compared", lambda pairs, k, words: n.append(k) or compared(pairs, k, words))
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()}
+    by_rounds = sum(n)
+    print("compared", n)
+    monkeypatch.setattr(near_dup, "FEW", 10**9)
+    n.clear()
+    assert got == {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()}
+    print("compared", n)
+    assert by_rounds < 40 * len(texts) and 2 * by_rounds < sum(n)
+
+
+def test_longer_open_texts_keep_their_partners(spark):
+    """Text x (100 shingles) holds y (85) and is not linked with the pivot; the first that both have stands at place 15 of x."""
+    x, y = list(range(15)) + list(range(100, 106)), list(range(100, 118))
+    first = spark.createDataFrame([("x", "p", False, 100, x), ("y", "p", True, 85, y)], "node string, pivot string, linked boolean, n long, first array<long>")
+    assert {"x", "y"} <= {k.node for k in near_dup.differences(first).collect()}
+
+
 def test_one_row_of_each_class_stays(spark):
     """Repeated rows, two near copies of one id, a class without ids."""
     r = random.Random(6)
